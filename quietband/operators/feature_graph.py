@@ -1,0 +1,277 @@
+"""Weighted graphs over the columns of a table.
+
+Points come as an id plus an ``ARRAY<DOUBLE>`` of standardised, imputed
+features. A graph is a table ``(i, j, weight)`` with one row per column pair
+``i < j``; with ``by`` there is one graph per group and the group column leads.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from quietband.functions import smallmath
+from quietband.functions.partials import partial_sums
+from quietband.functions.quantiles import exact_quantiles
+from quietband.operators.graph import connected_components
+from quietband.session import check_broadcast
+
+THRESHOLD_SIGMA = 1.5
+LASSO_MIN_ROWS = 10
+LASSO_MAX_FEATURES = 512
+MI_BINS = 8
+
+
+@dataclass(frozen=True)
+class Moments:
+    """Row count, mean and population covariance of a set of vectors."""
+
+    n: int
+    mean: np.ndarray
+    cov: np.ndarray
+
+
+@dataclass(frozen=True)
+class FeatureGraph:
+    """Thresholded column graph with its node names and one-row statistics."""
+
+    edges: DataFrame
+    nodes: list[str]
+    stats: DataFrame
+
+
+def width_of(df: DataFrame, vector: str) -> int:
+    row = df.select(F.size(vector).alias("d")).first()
+    if row is None:
+        raise ValueError("the table has no rows")
+    smallmath.check_width(row["d"])
+    return row["d"]
+
+
+def moments(df: DataFrame, vector: str, by: str | None = None, d: int | None = None) -> dict:
+    """Moments per group in one pass; only d x d numbers reach the driver."""
+    d = d or width_of(df, vector)
+    upper = np.triu_indices(d)
+
+    def block(rows: np.ndarray) -> np.ndarray:
+        return np.concatenate([[len(rows)], rows.sum(axis=0), (rows.T @ rows)[upper]])
+
+    sums: dict[int, np.ndarray] = {}
+    for row in partial_sums(df, vector, 1 + d + len(upper[0]), block, by).collect():
+        sums.setdefault(row["grp"], np.zeros(1 + d + len(upper[0])))[row["slot"]] = row["value"]
+    result = {}
+    for grp, total in sorted(sums.items()):
+        n, mean = int(total[0]), total[1 : 1 + d] / total[0]
+        gram = np.zeros((d, d))
+        gram[upper] = total[1 + d :]
+        gram = gram + gram.T - np.diag(np.diag(gram))
+        result[grp] = Moments(n, mean, gram / n - np.outer(mean, mean))
+    return result
+
+
+def _keys(by: str | None) -> list[str]:
+    return [] if by is None else [by]
+
+
+def _edges_from_matrices(spark, matrices: dict, d: int, by: str | None) -> DataFrame:
+    i, j = np.triu_indices(d, k=1)
+    parts = [
+        pd.DataFrame({"grp": grp, "i": i, "j": j, "weight": m[i, j]}) for grp, m in matrices.items()
+    ]
+    table = pd.concat(parts) if parts else pd.DataFrame({"grp": [], "i": [], "j": [], "weight": []})
+    edges = spark.createDataFrame(table, "grp long, i int, j int, weight double")
+    return edges.drop("grp") if by is None else edges.withColumnRenamed("grp", by)
+
+
+def _absolute_correlation(cov: np.ndarray) -> np.ndarray:
+    scale = np.sqrt(np.clip(np.diag(cov), 0.0, None))
+    outer = np.outer(scale, scale)
+    corr = np.divide(np.abs(cov), outer, out=np.zeros_like(cov), where=outer > 1e-20)
+    return np.clip(corr, 0.0, 1.0)
+
+
+def _absolute_partial_correlation(m: Moments, method: str) -> np.ndarray:
+    d = len(m.mean)
+    sparse = method == "lasso" or (
+        method == "auto" and m.n >= LASSO_MIN_ROWS and d < m.n and d <= LASSO_MAX_FEATURES
+    )
+    if sparse:
+        precision = smallmath.sparse_precision(m.cov)
+    else:
+        precision = np.linalg.pinv(m.cov * (m.n / max(m.n - 1, 1)))
+    scale = np.sqrt(np.abs(np.diag(precision)))
+    scale = np.where(scale < 1e-10, 1.0, scale)
+    return np.clip(np.abs(precision) / np.outer(scale, scale), 0.0, 1.0)
+
+
+def correlation_edges(df: DataFrame, vector: str = "features", by: str | None = None) -> DataFrame:
+    """Absolute Pearson correlation of every column pair; 0 for flat columns."""
+    d = width_of(df, vector)
+    matrices = {g: _absolute_correlation(m.cov) for g, m in moments(df, vector, by, d).items()}
+    return _edges_from_matrices(df.sparkSession, matrices, d, by)
+
+
+def partial_correlation_edges(
+    df: DataFrame, vector: str = "features", by: str | None = None, method: str = "auto"
+) -> DataFrame:
+    """Absolute partial correlation from the precision matrix.
+
+    ``auto`` takes the L1-penalised precision where there are enough rows and
+    the pseudo-inverse of the covariance otherwise.
+    """
+    d = width_of(df, vector)
+    matrices = {
+        g: _absolute_partial_correlation(m, method) for g, m in moments(df, vector, by, d).items()
+    }
+    return _edges_from_matrices(df.sparkSession, matrices, d, by)
+
+
+def equal_depth_cuts(df: DataFrame, vector: str, d: int, bins: int = MI_BINS) -> np.ndarray:
+    """Exact inner cut points of equally filled bins, one row per column."""
+    probs = [b / bins for b in range(1, bins)]
+    columns = {str(j): F.get(F.col(vector), F.lit(j)) for j in range(d)}
+    found = exact_quantiles(df, columns, probs)
+    return np.array([found[str(j)] for j in range(d)], dtype=float)
+
+
+def mutual_information_edges(
+    df: DataFrame,
+    vector: str = "features",
+    by: str | None = None,
+    bins: int = MI_BINS,
+    cuts: np.ndarray | None = None,
+) -> DataFrame:
+    """Mutual information of every column pair on equally filled bins, scaled to 1.
+
+    Bins come from the whole table, also when the graphs are per group.
+    """
+    d = width_of(df, vector)
+    cuts = equal_depth_cuts(df, vector, d, bins) if cuts is None else cuts
+    check_broadcast(d, 8 * bins, "the histogram cut points")
+
+    def block(rows: np.ndarray) -> np.ndarray:
+        binned = np.column_stack([np.searchsorted(cuts[j], rows[:, j]) for j in range(d)])
+        counts = np.zeros((d, d, bins * bins))
+        for i in range(d - 1):
+            joint = binned[:, [i]] * bins + binned[:, i + 1 :]
+            offset = np.arange(d - i - 1) * bins * bins
+            flat = np.bincount((joint + offset).ravel(), minlength=len(offset) * bins * bins)
+            counts[i, i + 1 :] = flat.reshape(len(offset), -1)
+        return counts.ravel()
+
+    cell = bins * bins
+    joint = partial_sums(df, vector, d * d * cell, block, by).select(
+        "grp",
+        F.floor(F.col("slot") / (d * cell)).cast("int").alias("i"),
+        (F.floor(F.col("slot") / cell) % d).cast("int").alias("j"),
+        (F.floor(F.col("slot") / bins) % bins).alias("a"),
+        (F.col("slot") % bins).alias("b"),
+        F.col("value").alias("c"),
+    )
+    pair = Window.partitionBy("grp", "i", "j")
+    with_margins = (
+        joint.withColumn("n", F.sum("c").over(pair))
+        .withColumn("ca", F.sum("c").over(Window.partitionBy("grp", "i", "j", "a")))
+        .withColumn("cb", F.sum("c").over(Window.partitionBy("grp", "i", "j", "b")))
+    )
+    term = F.col("c") / F.col("n") * F.ln(F.col("c") * F.col("n") / (F.col("ca") * F.col("cb")))
+    raw = with_margins.groupBy("grp", "i", "j").agg(F.greatest(F.sum(term), F.lit(0.0)).alias("mi"))
+    top = F.max("mi").over(Window.partitionBy("grp"))
+    scaled = raw.select(
+        "grp", "i", "j", F.when(top > 1e-10, F.col("mi") / top).otherwise(F.col("mi")).alias("weight")
+    )
+    return scaled.drop("grp") if by is None else scaled.withColumnRenamed("grp", by)
+
+
+def combine_graphs(graphs: list[DataFrame], by: str | None = None) -> DataFrame:
+    """Mean weight of each pair over the graphs; a missing pair counts as 0."""
+    union = reduce(DataFrame.unionByName, graphs)
+    return union.groupBy(*_keys(by), "i", "j").agg(
+        (F.sum("weight") / F.lit(float(len(graphs)))).alias("weight")
+    )
+
+
+def adaptive_edge_threshold(edges: DataFrame, by: str | None = None) -> DataFrame:
+    """Mean plus 1.5 standard deviations of the pair weights, zeros included."""
+    return edges.groupBy(*_keys(by)).agg(
+        (F.avg("weight") + THRESHOLD_SIGMA * F.stddev_pop("weight")).alias("threshold")
+    )
+
+
+def threshold_graph(edges: DataFrame, threshold, by: str | None = None) -> DataFrame:
+    """Keep edges at or above a number, or above their row of a threshold table."""
+    if isinstance(threshold, DataFrame):
+        if by is None:
+            return edges.where(F.col("weight") >= threshold.select("threshold").scalar())
+        limits = F.broadcast(threshold)  # one row per group
+        return edges.join(limits, by).where(F.col("weight") >= F.col("threshold")).drop("threshold")
+    return edges.where(F.col("weight") >= F.lit(float(threshold)))
+
+
+def validate_graph(adjacency: DataFrame, tolerance: float = 1e-8) -> DataFrame:
+    """Check a full adjacency ``(i, j, weight)``: symmetric, non-negative, no loops."""
+    mirrored = adjacency.select(
+        F.col("j").alias("i"), F.col("i").alias("j"), F.col("weight").alias("mirror")
+    )
+    paired = adjacency.join(mirrored, ["i", "j"], "full_outer")
+    gap = F.abs(F.coalesce("weight", F.lit(0.0)) - F.coalesce("mirror", F.lit(0.0)))
+    return paired.agg(
+        (F.count_if(gap > tolerance) == 0).alias("symmetric"),
+        (F.count_if(F.col("weight") < -1e-10) == 0).alias("non_negative"),
+        (F.count_if((F.col("i") == F.col("j")) & (F.abs("weight") > tolerance)) == 0).alias(
+            "zero_diagonal"
+        ),
+    )
+
+
+def graph_stats(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edge count, density, number of components and mean degree over ``nodes``."""
+    real = edges.where(F.col("weight") > 0)
+    parts = connected_components(real, nodes).agg(
+        F.count_distinct("component").alias("n_components"), F.count("*").alias("n_nodes")
+    )
+    n, m = F.col("n_nodes"), real.agg(F.count("*")).scalar()
+    return parts.select(
+        m.alias("n_edges"),
+        F.coalesce(F.try_divide(2.0 * m, n * (n - 1)), F.lit(0.0)).alias("density"),
+        "n_components",
+        F.coalesce(F.try_divide(2.0 * m, n), F.lit(0.0)).alias("avg_degree"),
+    )
+
+
+def build_edges(
+    df: DataFrame, vector: str = "features", by: str | None = None, cuts: np.ndarray | None = None
+) -> DataFrame:
+    """Thresholded mean of the three graphs, held as a small local table."""
+    spark = df.sparkSession
+    d = width_of(df, vector)
+    found = moments(df, vector, by, d)
+    corr = {g: _absolute_correlation(m.cov) for g, m in found.items()}
+    partial = {g: _absolute_partial_correlation(m, "auto") for g, m in found.items()}
+    combined = combine_graphs(
+        [
+            _edges_from_matrices(spark, corr, d, by),
+            mutual_information_edges(df, vector, by, cuts=cuts),
+            _edges_from_matrices(spark, partial, d, by),
+        ],
+        by,
+    )
+    combined = spark.createDataFrame(combined.toPandas(), combined.schema)  # d * d rows per group
+    return threshold_graph(combined, adaptive_edge_threshold(combined, by), by)
+
+
+def build_feature_graph(df: DataFrame, vector: str = "features") -> FeatureGraph:
+    d = width_of(df, vector)
+    edges = build_edges(df, vector)
+    nodes = df.sparkSession.range(d).select(F.col("id").cast("int").alias("node"))
+    return FeatureGraph(edges, [str(i) for i in range(d)], graph_stats(edges, nodes))
+
+
+def region_feature_graph(df: DataFrame, by: str, vector: str = "features") -> DataFrame:
+    """Edges of one feature graph per group of rows, from one pass over all groups."""
+    return build_edges(df, vector, by)
