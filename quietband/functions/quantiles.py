@@ -121,29 +121,30 @@ def _count_brackets(clean: DataFrame, column_of, targets: list[_Target]) -> None
 
 
 def _read_brackets(clean: DataFrame, column_of, targets: list[_Target]) -> None:
-    """Count the bracket's rows by value; rows below it share one NULL key."""
+    """Count the brackets' rows by value; rows below a bracket share one NULL key."""
     if not targets:
         return
-    keyed = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("q"),
-                F.when(t.within(column_of[t.name]), column_of[t.name]).alias("v"),
-                (column_of[t.name] <= (math.inf if t.high is None else t.high)).alias("keep"),
-            )
-            for i, t in enumerate(targets)
-        ]
-    )
+    brackets = sorted({(t.name, t.low, t.high) for t in targets}, key=str)
+    keyed = []
+    for i, (name, low, high) in enumerate(brackets):
+        column = column_of[name]
+        value = column if low is None else F.when(column.between(low, high), column)
+        keep = column <= (math.inf if high is None else high)
+        keyed.append(F.struct(F.lit(i).alias("q"), value.alias("v"), keep.alias("keep")))
     rows = (
-        clean.select(F.explode(keyed).alias("k"))
+        clean.select(F.explode(F.array(*keyed)).alias("k"))
         .where("k.keep")
         .groupBy("k.q", "k.v")
         .agg(F.count("*").alias("rows"))
         .collect()
     )
-    for i, t in enumerate(targets):
-        counts = sorted((r["v"], r["rows"]) for r in rows if r["q"] == i and r["v"] is not None)
-        t.below = sum(r["rows"] for r in rows if r["q"] == i and r["v"] is None)
+    counted: list[dict] = [{} for _ in brackets]
+    for r in rows:
+        counted[r["q"]][r["v"]] = r["rows"]
+    for t in targets:
+        found = dict(counted[brackets.index((t.name, t.low, t.high))])
+        t.below = found.pop(None, 0)
+        counts = sorted(found.items())
         t.inside = sum(c for _, c in counts)
         if not t.missed():
             low = _at(counts, t.low_rank - t.below)

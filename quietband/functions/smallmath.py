@@ -20,6 +20,20 @@ def symmetric(edges, d: int) -> np.ndarray:
     return matrix
 
 
+def component_count(linked: np.ndarray) -> int:
+    """Connected components of a dense boolean adjacency."""
+    unseen = np.ones(len(linked), dtype=bool)
+    count = 0
+    while unseen.any():
+        count += 1
+        frontier = np.zeros(len(linked), dtype=bool)
+        frontier[np.argmax(unseen)] = True
+        while frontier.any():
+            unseen &= ~frontier
+            frontier = linked[frontier].any(axis=0) & unseen
+    return count
+
+
 def laplacian_matrix(weights: np.ndarray, normalized: bool = False) -> np.ndarray:
     degree = weights.sum(axis=1)
     lap = np.diag(degree) - weights

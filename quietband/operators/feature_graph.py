@@ -266,10 +266,20 @@ def build_edges(
 
 
 def build_feature_graph(df: DataFrame, vector: str = "features") -> FeatureGraph:
+    """Graph of all columns; its statistics come from the d x d weights at hand."""
     d = width_of(df, vector)
     edges = build_edges(df, vector)
-    nodes = df.sparkSession.range(d).select(F.col("id").cast("int").alias("node"))
-    return FeatureGraph(edges, [str(i) for i in range(d)], graph_stats(edges, nodes))
+    linked = smallmath.symmetric(edges.toPandas(), d) > 0
+    degree = linked.sum(axis=1)
+    row = (
+        int(degree.sum()) // 2,
+        float(degree.sum() / (d * (d - 1))) if d > 1 else 0.0,
+        smallmath.component_count(linked),
+        float(degree.mean()),
+    )
+    schema = "n_edges long, density double, n_components long, avg_degree double"
+    stats = df.sparkSession.createDataFrame([row], schema)
+    return FeatureGraph(edges, [str(i) for i in range(d)], stats)
 
 
 def region_feature_graph(df: DataFrame, by: str, vector: str = "features") -> DataFrame:

@@ -102,7 +102,8 @@ def read_delimited(
     inferred = reader.option("inferSchema", True).option("mode", "DROPMALFORMED").csv(path).schema
     surplus = T.StructField(_EXTRA, T.StringType())
     rows = reader.schema(T.StructType([*inferred.fields, surplus])).csv(path)
-    rows = rows.where(F.col(_EXTRA).isNull()).drop(_EXTRA)
+    # Written so that it is not pushed into the parser, which would drop short rows.
+    rows = rows.where(F.coalesce(F.col(_EXTRA), F.lit("")) == "").drop(_EXTRA)
     if not header:
         rows = rows.toDF(*[f"col_{i}" for i in range(len(inferred))])
     rows = clean_column_names(rows)
