@@ -101,9 +101,9 @@ def read_delimited(
     # Field count and names come from the first line of the head, types from the file.
     inferred = reader.option("inferSchema", True).option("mode", "DROPMALFORMED").csv(path).schema
     surplus = T.StructField(_EXTRA, T.StringType())
+    reader = reader.option("mode", "PERMISSIVE")  # short lines are padded with NULL
     rows = reader.schema(T.StructType([*inferred.fields, surplus])).csv(path)
-    # Written so that it is not pushed into the parser, which would drop short rows.
-    rows = rows.where(F.coalesce(F.col(_EXTRA), F.lit("")) == "").drop(_EXTRA)
+    rows = rows.where(F.col(_EXTRA).isNull()).drop(_EXTRA)
     if not header:
         rows = rows.toDF(*[f"col_{i}" for i in range(len(inferred))])
     rows = clean_column_names(rows)
