@@ -23,6 +23,8 @@ from quietband.session import check_broadcast, cut_lineage
 
 BLOCK_ROWS = 10_000
 MAX_PIVOTS = 4096
+# With fewer blocks of points than this, cells prune too little to pay for themselves.
+PIVOTS_FROM_BLOCKS = 4
 QUERY_CHUNK = 512
 # Largest right side of a distance matrix that is shipped whole to every task.
 SMALL_SIDE = 1000
@@ -160,14 +162,15 @@ def _route(queries: DataFrame, cells: _Cells, k: int | None) -> DataFrame:
 # --- the block join ----------------------------------------------------------------
 
 
-def _block_join(routes: DataFrame, points: DataFrame, sizes: np.ndarray, k: int | None, block: int):
+def _block_join(routes, points, sizes: np.ndarray, k: int | None, block: int, visits=None):
     """Meet routed queries and points cell by cell; ``(query, neighbor, sq)`` rows.
 
     Both sides of a cell are cut into blocks of about ``block`` rows by hash, so
     a task never holds more than one block of each, however full the cell is.
     """
     spark = points.sparkSession
-    visits = {r["cell"]: r["n"] for r in routes.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    if visits is None:
+        visits = {r["cell"]: r["count"] for r in routes.groupBy("cell").count().collect()}
     plan = spark.createDataFrame(
         [
             (int(c), max(1, math.ceil(n / block)), max(1, math.ceil(int(sizes[c]) / block)))
@@ -279,14 +282,17 @@ def knn_exact(
     asked = base if queries is None else _rows(queries, id_col, vector)
     distinct = cut_lineage(_distinct_vectors(base))
     unique = distinct if queries is None else cut_lineage(_distinct_vectors(asked))
-    n = distinct.count()
-    pivots = _pivots(distinct, _pivot_count(n, block_rows))
-    check_broadcast(len(pivots), 8 * pivots.shape[1], "the pivots")
-    if len(pivots) == 1:
-        found = _single_cell(unique, distinct, n, k, block_rows)
+    n, n_asked = distinct.count(), unique.count()
+    if n <= PIVOTS_FROM_BLOCKS * block_rows:
+        found = _single_cell(unique, distinct, n, n_asked, k, block_rows)
     else:
+        pivots = _pivots(distinct, _pivot_count(n, block_rows))
+        check_broadcast(len(pivots), 8 * pivots.shape[1], "the pivots")
         found = _search_cells(unique, distinct, pivots, k, block_rows, queries is None)
-    hits = _top_k(found, k).select("query", F.col("neighbor").alias("rep"), "sq")
+    top = _top_k(found, k)
+    if n == base.count() and (queries is None or n_asked == asked.count()):
+        return _as_hits(top)
+    hits = top.select("query", F.col("neighbor").alias("rep"), "sq")
 
     # From distinct vectors back to rows: at most k copies of a hit can matter.
     members = _copies(base, distinct)
@@ -294,21 +300,19 @@ def knn_exact(
     expanded = hits.join(few, "rep").select("query", F.col("id").alias("neighbor"), "sq")
     ranked = _top_k(expanded, k).select("query", "neighbor", "rank", "sq")
     owners = members if queries is None else _copies(asked, unique)
-    return (
-        owners.join(ranked.withColumnRenamed("query", "rep"), "rep")
-        .select(
-            F.col("id").alias("query"),
-            "neighbor",
-            (F.col("rank") - 1).alias("rank"),
-            F.col("sq").alias("sq_distance"),
-        )
-    )
+    named = owners.join(ranked.withColumnRenamed("query", "rep"), "rep")
+    return _as_hits(named.select(F.col("id").alias("query"), "neighbor", "rank", "sq"))
 
 
-def _single_cell(unique, distinct, n, k, block):
+def _as_hits(ranked: DataFrame) -> DataFrame:
+    rank = (F.col("rank") - 1).alias("rank")
+    return ranked.select("query", "neighbor", rank, F.col("sq").alias("sq_distance"))
+
+
+def _single_cell(unique, distinct, n, n_asked, k, block):
     routes = unique.select("id", "vec", F.lit(0).alias("cell"), F.lit(math.inf).alias("limit"))
     cell = distinct.withColumn("cell", F.lit(0))
-    return _block_join(routes, cell, np.array([n]), k, block)
+    return _block_join(routes, cell, np.array([n]), k, block, visits={0: n_asked})
 
 
 def _search_cells(unique, distinct, pivots, k, block, same: bool):
@@ -368,9 +372,7 @@ def knn_approx(
         asked.withColumn("cell", F.explode(nearest_cells("vec"))).withColumn("limit", F.lit(math.inf))
     )
     found = _block_join(routes, placed, cells.size, k, block_rows)
-    return _top_k(found, k).select(
-        "query", "neighbor", (F.col("rank") - 1).alias("rank"), F.col("sq").alias("sq_distance")
-    )
+    return _as_hits(_top_k(found, k))
 
 
 def batch_knn(points: DataFrame, k: int, batch_size: int = BLOCK_ROWS, **options) -> DataFrame:

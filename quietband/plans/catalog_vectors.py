@@ -47,7 +47,7 @@ def knn_exact_query(spark, sf_dir):
 # Small blocks force several cells and split blocks, so the pruned route is checked too.
 @query("batch_knn", knn_sql(5))
 def batch_knn_query(spark, sf_dir):
-    return rounded(neighbors.batch_knn(embedding_points(spark, sf_dir), 5, batch_size=128))
+    return rounded(neighbors.batch_knn(embedding_points(spark, sf_dir), 5, batch_size=50))
 
 
 @query("knn_approx_all_cells", knn_sql(5))
@@ -63,10 +63,10 @@ def knn_approx_query(spark, sf_dir):
 
 @query(
     "radius_search",
-    f"WITH {PAIRS_SQL} SELECT query, neighbor, round(sq, 6) + 0.0 AS sq_distance FROM prs WHERE sq < 0.81",
+    f"WITH {PAIRS_SQL} SELECT query, neighbor, round(sq, 6) + 0.0 AS sq_distance FROM prs WHERE sq < 1.44",
 )
 def radius_search_query(spark, sf_dir):
-    return rounded(neighbors.radius_search(embedding_points(spark, sf_dir), 0.9))
+    return rounded(neighbors.radius_search(embedding_points(spark, sf_dir), 1.2))
 
 
 @query(
@@ -300,13 +300,13 @@ def spectral_centroid_query(spark, sf_dir):
 
 
 EMBED_POWER_SQL = f"""{EMBED_SQL}, u AS (SELECT id, label, generate_subscripts(v, 1) - 1 AS k, unnest(v) AS x FROM emb),
-ep AS (SELECT k, avg(x * x * (1 + k % 9) * (1 + k % 9)) AS power FROM u GROUP BY k)"""
+ep AS (SELECT k, avg(x * x * (1 + 3 * (k % 9)) * (1 + 3 * (k % 9))) AS power FROM u GROUP BY k)"""
 
 
 def _stepped_power(spark, sf_dir):
-    """Embedding components scaled by 1..9 in turn, so that the spectrum has jumps."""
+    """Embedding components scaled by 1, 4, .. 25 in turn, so that the spectrum has jumps."""
     scaled = embedding_points(spark, sf_dir).select(
-        F.transform("features", lambda x, k: x * (1 + k % 9)).alias("coeffs")
+        F.transform("features", lambda x, k: x * (1 + 3 * (k % 9))).alias("coeffs")
     )
     return spectral.mean_power(scaled, d=EMBED_D)
 
