@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SKETCH_ACCURACY = 10_000
-# Distinct values of one bracket the driver reads at most.
+# Rows of one bracket the driver reads at most.
 MAX_BRACKET_ROWS = 20_000
 
 
@@ -78,31 +78,40 @@ def exact_quantiles(
 
     pending = [t for group in targets.values() for t in group if t.total]
     while pending:
-        _sketch(clean, column_of, [t for t in pending if t.inside > MAX_BRACKET_ROWS])
-        small = [t for t in pending if 4 * t.margin * t.inside <= MAX_BRACKET_ROWS]
-        large = [t for t in pending if t not in small]
-        _read_brackets(clean, column_of, small)
-        _count_brackets(clean, column_of, large)
+        wide = [t for t in pending if t.inside > MAX_BRACKET_ROWS]
+        _sketch(clean, column_of, wide)
+        _count_brackets(clean, column_of, wide)
+        pending = [t for t in pending if t.value is None]
+        _read_brackets(clean, column_of, [t for t in pending if t.inside <= MAX_BRACKET_ROWS])
         pending = [t for t in pending if t.value is None]
     return {n: [t.value for t in group] for n, group in targets.items()}
 
 
+def _by_bracket(targets: list[_Target]) -> dict[tuple, list[_Target]]:
+    groups: dict[tuple, list[_Target]] = {}
+    for t in targets:
+        groups.setdefault((t.name, t.low, t.high), []).append(t)
+    return groups
+
+
 def _sketch(clean: DataFrame, column_of, targets: list[_Target]) -> None:
     """Narrow each bracket around its ranks from the rows still inside it."""
     if not targets:
         return
+    groups = list(_by_bracket(targets).values())
     row = clean.agg(
         *[
             F.percentile_approx(
-                F.when(t.within(column_of[t.name]), column_of[t.name]),
-                F.array(*map(F.lit, t.points())),
+                F.when(group[0].within(column_of[group[0].name]), column_of[group[0].name]),
+                F.array(*[F.lit(p) for t in group for p in t.points()]),
                 SKETCH_ACCURACY,
             ).alias(f"s{i}")
-            for i, t in enumerate(targets)
+            for i, group in enumerate(groups)
         ]
     ).first()
-    for i, t in enumerate(targets):
-        t.low, t.high = row[f"s{i}"]
+    for i, group in enumerate(groups):
+        for j, t in enumerate(group):
+            t.low, t.high = row[f"s{i}"][2 * j : 2 * j + 2]
 
 
 def _count_brackets(clean: DataFrame, column_of, targets: list[_Target]) -> None:
@@ -121,34 +130,32 @@ def _count_brackets(clean: DataFrame, column_of, targets: list[_Target]) -> None
 
 
 def _read_brackets(clean: DataFrame, column_of, targets: list[_Target]) -> None:
-    """Count the brackets' rows by value; rows below a bracket share one NULL key."""
+    """Count the rows inside small brackets by value and pick the wanted ranks."""
     if not targets:
         return
-    brackets = sorted({(t.name, t.low, t.high) for t in targets}, key=str)
-    keyed = []
-    for i, (name, low, high) in enumerate(brackets):
-        column = column_of[name]
-        value = column if low is None else F.when(column.between(low, high), column)
-        keep = column <= (math.inf if high is None else high)
-        keyed.append(F.struct(F.lit(i).alias("q"), value.alias("v"), keep.alias("keep")))
+    groups = list(_by_bracket(targets).values())
+    inside = F.array(
+        *[
+            F.when(
+                group[0].within(column_of[group[0].name]),
+                F.struct(F.lit(i).alias("q"), column_of[group[0].name].alias("v")),
+            )
+            for i, group in enumerate(groups)
+        ]
+    )
     rows = (
-        clean.select(F.explode(F.array(*keyed)).alias("k"))
-        .where("k.keep")
+        clean.select(F.explode(F.array_compact(inside)).alias("k"))
         .groupBy("k.q", "k.v")
         .agg(F.count("*").alias("rows"))
         .collect()
     )
-    counted: list[dict] = [{} for _ in brackets]
-    for r in rows:
-        counted[r["q"]][r["v"]] = r["rows"]
-    for t in targets:
-        found = dict(counted[brackets.index((t.name, t.low, t.high))])
-        t.below = found.pop(None, 0)
-        counts = sorted(found.items())
-        t.inside = sum(c for _, c in counts)
-        if not t.missed():
-            low = _at(counts, t.low_rank - t.below)
-            high = _at(counts, t.high_rank - t.below)
+    counts: list[list] = [[] for _ in groups]
+    for r in sorted((r["q"], r["v"], r["rows"]) for r in rows):
+        counts[r[0]].append(r[1:])
+    for group, counted in zip(groups, counts):
+        for t in group:
+            low = _at(counted, t.low_rank - t.below)
+            high = _at(counted, t.high_rank - t.below)
             t.value = low + (high - low) * (t.position - t.low_rank)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from quietband.functions.sampling import first_per_group, hash_order
 from quietband.functions.vectors import to_lists, to_matrix
-from quietband.session import check_broadcast, cut_lineage
+from quietband.session import check_broadcast, cut_lineage, partial_width
 
 BLOCK_ROWS = 10_000
 MAX_PIVOTS = 4096
@@ -72,8 +72,10 @@ def _close_pairs(queries, points, k, limits):
 
 
 def _keep_nearest(rows, exact, ids, k):
-    """Order pairs by (row, distance, id) and keep the first k of each row."""
+    """Order pairs by (row, distance, id) and keep the first k of each row, or all."""
     order = np.lexsort((ids, exact, rows))
+    if k is None:
+        return order
     sorted_rows = rows[order]
     first = np.searchsorted(sorted_rows, sorted_rows)
     return order[np.arange(len(order)) - first < k]
@@ -163,7 +165,7 @@ def _route(queries: DataFrame, cells: _Cells, k: int | None) -> DataFrame:
 
 
 def _block_join(routes, points, sizes: np.ndarray, k: int | None, block: int, visits=None):
-    """Meet routed queries and points cell by cell; ``(query, neighbor, sq)`` rows.
+    """Meet routed queries and points cell by cell: ``(query, hits)``.
 
     Both sides of a cell are cut into blocks of about ``block`` rows by hash, so
     a task never holds more than one block of each, however full the cell is.
@@ -194,48 +196,98 @@ def _block_join(routes, points, sizes: np.ndarray, k: int | None, block: int, vi
         .withColumn("q_part", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)))
         .select(*[F.col(c).alias(f"p_{c}") for c in ("cell", "q_part", "p_part", "id", "vec")])
     )
-    id_type = points.schema["id"].dataType
 
     def meet(queries: pa.Table, targets: pa.Table) -> pa.Table:
-        names, arrow_ids = ["query", "neighbor", "sq"], queries["q_id"].type
+        q_ids, p_ids = queries["q_id"], targets["p_id"]
         if not queries.num_rows or not targets.num_rows:
-            empty = [pa.array([], arrow_ids), pa.array([], arrow_ids), pa.array([], pa.float64())]
-            return pa.table(empty, names=names)
-        q, p = to_matrix(queries["q_vec"]), to_matrix(targets["p_vec"])
-        limit = queries["q_limit"].to_numpy() ** 2
-        ids = targets["p_id"].to_numpy()
+            return _hits_table(q_ids.slice(0, 0), p_ids, *[np.empty(0, dtype=int)] * 2, np.empty(0))
+        ids, limit = p_ids.to_numpy(), queries["q_limit"].to_numpy() ** 2
         rows, columns, exact = [], [], []
-        for r, c, e in _close_pairs(q, p, k, limit):
-            if k is not None:
-                kept = _keep_nearest(r, e, ids[c], k)
-                r, c, e = r[kept], c[kept], e[kept]
-            rows.append(r), columns.append(c), exact.append(e)
-        rows, columns = np.concatenate(rows), np.concatenate(columns)
-        return pa.table(
-            [
-                queries["q_id"].take(pa.array(rows)),
-                targets["p_id"].take(pa.array(columns)),
-                pa.array(np.concatenate(exact)),
-            ],
-            names=names,
-        )
+        for r, c, e in _close_pairs(to_matrix(queries["q_vec"]), to_matrix(targets["p_vec"]), k, limit):
+            kept = _keep_nearest(r, e, ids[c], k)
+            rows.append(r[kept]), columns.append(c[kept]), exact.append(e[kept])
+        return _hits_table(q_ids, p_ids, *map(np.concatenate, (rows, columns, exact)))
 
     keys = ("cell", "q_part", "p_part")
-    schema = T.StructType(
-        [
-            T.StructField("query", id_type),
-            T.StructField("neighbor", id_type),
-            T.StructField("sq", T.DoubleType()),
-        ]
-    )
+    schema = _hits_schema(routes.schema["id"].dataType, points.schema["id"].dataType)
     asked = left.groupBy(*[f"q_{c}" for c in keys])
     return asked.cogroup(right.groupBy(*[f"p_{c}" for c in keys])).applyInArrow(meet, schema)
 
 
-def _top_k(found: DataFrame, k: int) -> DataFrame:
-    """The first k hits per query; every task cuts its share to k first."""
-    rank = Window.partitionBy("query").orderBy("sq", "neighbor")
-    return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+def _hits_schema(query_type: T.DataType, neighbor_type: T.DataType) -> T.StructType:
+    hit = T.StructType([T.StructField("sq", T.DoubleType()), T.StructField("neighbor", neighbor_type)])
+    return T.StructType([T.StructField("query", query_type), T.StructField("hits", T.ArrayType(hit))])
+
+
+def _hits_table(q_ids, p_ids, rows: np.ndarray, columns: np.ndarray, exact: np.ndarray) -> pa.Table:
+    """One list of hits per query that has any; ``rows`` must be ascending."""
+    found, starts = np.unique(rows, return_index=True)
+    offsets = pa.array(np.append(starts, len(rows)).astype(np.int32))
+    neighbor = p_ids.take(pa.array(columns)).combine_chunks()
+    hit = pa.StructArray.from_arrays([pa.array(exact), neighbor], names=["sq", "neighbor"])
+    return pa.table(
+        {"query": q_ids.take(pa.array(found)), "hits": pa.ListArray.from_arrays(offsets, hit)}
+    )
+
+
+def _merge(found: DataFrame, k: int) -> DataFrame:
+    """The first k hits per query over all its blocks, as one sorted list.
+
+    Every block passes on at most k hits per query, after the first round only
+    those within the known k-th distance.
+    """
+    merged = F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, k)
+    return found.groupBy("query").agg(merged.alias("hits"))
+
+
+def _as_hits(merged: DataFrame) -> DataFrame:
+    return merged.select("query", F.posexplode("hits").alias("rank", "hit")).select(
+        "query", F.col("hit.neighbor").alias("neighbor"), "rank", F.col("hit.sq").alias("sq_distance")
+    )
+
+
+def _few_queries(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Search for at most SMALL_SIDE queries: they travel to the points, one scan, no shuffle of rows.
+
+    Every task keeps the k nearest of its own points per query.
+    """
+    held = queries.orderBy("id").collect()
+    wanted = np.array([r["vec"] for r in held], dtype=float)
+    check_broadcast(len(held), 8 * (wanted.shape[1] if len(held) else 0), "the queries")
+    schema = _hits_schema(queries.schema["id"].dataType, points.schema["id"].dataType)
+    names = [r["id"] for r in held]
+
+    def scan(batches):
+        best, ids = None, None
+        for batch in batches:
+            if not batch.num_rows or not len(names):
+                continue
+            rows, table = to_matrix(batch.column(1)), pa.chunked_array([batch.column(0)])
+            limit = np.full(len(names), np.inf)
+            if best is not None:  # a full list bounds what can still enter
+                counts = np.bincount(best[0], minlength=len(names))
+                last = np.zeros(len(names))
+                np.maximum.at(last, best[0], best[2])
+                limit = np.where(counts >= k, last, np.inf)
+            parts = [np.concatenate(x) for x in zip(*_close_pairs(wanted, rows, k, limit))]
+            fresh = (parts[0], parts[1], parts[2])
+            if best is None:
+                ids, merged = table, fresh
+            else:
+                shifted = fresh[1] + len(ids)
+                ids = pa.chunked_array(ids.chunks + table.chunks)
+                merged = [np.concatenate(x) for x in zip(best, (fresh[0], shifted, fresh[2]))]
+            kept = _keep_nearest(merged[0], merged[2], ids.take(pa.array(merged[1])).to_numpy(), k)
+            best = tuple(m[kept] for m in merged)
+            used, renumbered = np.unique(best[1], return_inverse=True)
+            ids = ids.take(pa.array(used))
+            best = (best[0], renumbered, best[2])
+        if best is not None:
+            labels = pa.chunked_array([pa.array(names)])
+            yield from _hits_table(labels, ids, *best).to_batches()
+
+    scanned = points.select("id", "vec").coalesce(partial_width(points)).mapInArrow(scan, schema)
+    return _merge(scanned, k)
 
 
 # --- copies --------------------------------------------------------------------------
@@ -280,6 +332,8 @@ def knn_exact(
     """
     base = _rows(points, id_col, vector)
     asked = base if queries is None else _rows(queries, id_col, vector)
+    if queries is not None and len(asked.limit(SMALL_SIDE + 1).select("id").collect()) <= SMALL_SIDE:
+        return _as_hits(_few_queries(base, asked, k))
     distinct = cut_lineage(_distinct_vectors(base))
     unique = distinct if queries is None else cut_lineage(_distinct_vectors(asked))
     n, n_asked = distinct.count(), unique.count()
@@ -289,24 +343,19 @@ def knn_exact(
         pivots = _pivots(distinct, _pivot_count(n, block_rows))
         check_broadcast(len(pivots), 8 * pivots.shape[1], "the pivots")
         found = _search_cells(unique, distinct, pivots, k, block_rows, queries is None)
-    top = _top_k(found, k)
+    hits = _as_hits(_merge(found, k))
     if n == base.count() and (queries is None or n_asked == asked.count()):
-        return _as_hits(top)
-    hits = top.select("query", F.col("neighbor").alias("rep"), "sq")
+        return hits
 
     # From distinct vectors back to rows: at most k copies of a hit can matter.
     members = _copies(base, distinct)
     few = first_per_group(members, ["rep"], ["id"], k)
-    expanded = hits.join(few, "rep").select("query", F.col("id").alias("neighbor"), "sq")
-    ranked = _top_k(expanded, k).select("query", "neighbor", "rank", "sq")
+    expanded = hits.withColumnRenamed("neighbor", "rep").join(few, "rep")
+    single = F.array(F.struct(F.col("sq_distance").alias("sq"), F.col("id").alias("neighbor")))
+    ranked = _merge(expanded.select("query", single.alias("hits")), k)
     owners = members if queries is None else _copies(asked, unique)
     named = owners.join(ranked.withColumnRenamed("query", "rep"), "rep")
-    return _as_hits(named.select(F.col("id").alias("query"), "neighbor", "rank", "sq"))
-
-
-def _as_hits(ranked: DataFrame) -> DataFrame:
-    rank = (F.col("rank") - 1).alias("rank")
-    return ranked.select("query", "neighbor", rank, F.col("sq").alias("sq_distance"))
+    return _as_hits(named.select(F.col("id").alias("query"), "hits"))
 
 
 def _single_cell(unique, distinct, n, n_asked, k, block):
@@ -320,11 +369,12 @@ def _search_cells(unique, distinct, pivots, k, block, same: bool):
     cells = _Cells(placed, pivots)
     asked = placed if same else cut_lineage(_assign(unique, pivots))
     home = asked.select("id", "vec", "cell", F.lit(math.inf).alias("limit"))
-    first = cut_lineage(_top_k(_block_join(home, placed, cells.size, k, block), k).drop("rank"))
-    kth = first.groupBy("query").agg(F.max("sq").alias("worst"), F.count("*").alias("hits"))
-    limit = F.when(F.col("hits") >= k, F.sqrt("worst")).otherwise(math.inf)
-    bounded = asked.join(kth.withColumnRenamed("query", "id"), "id", "left").select(
-        "id", "vec", F.col("cell").alias("home"), F.coalesce(limit, F.lit(math.inf)).alias("limit")
+    first = cut_lineage(_merge(_block_join(home, placed, cells.size, k, block), k))
+    worst = F.when(F.size("hits") >= k, F.sqrt(F.element_at("hits", -1)["sq"]))
+    bounded = asked.join(
+        first.select(F.col("query").alias("id"), worst.alias("worst")), "id", "left"
+    ).select(
+        "id", "vec", F.col("cell").alias("home"), F.coalesce("worst", F.lit(math.inf)).alias("limit")
     )
     routes = cut_lineage(_route(bounded, cells, k))
     return first.unionByName(_block_join(routes, placed, cells.size, k, block))
@@ -372,7 +422,7 @@ def knn_approx(
         asked.withColumn("cell", F.explode(nearest_cells("vec"))).withColumn("limit", F.lit(math.inf))
     )
     found = _block_join(routes, placed, cells.size, k, block_rows)
-    return _as_hits(_top_k(found, k))
+    return _as_hits(_merge(found, k))
 
 
 def batch_knn(points: DataFrame, k: int, batch_size: int = BLOCK_ROWS, **options) -> DataFrame:
@@ -405,15 +455,17 @@ def radius_search(
         "id", "vec", F.lit(-1).alias("home"), F.lit(math.sqrt(threshold)).alias("limit")
     )
     routes = cut_lineage(_route(waiting, cells, None))
-    found = _block_join(routes, placed, cells.size, None, block_rows).where(F.col("sq") < threshold)
+    found = _as_hits(_block_join(routes, placed, cells.size, None, block_rows)).where(
+        F.col("sq_distance") < threshold
+    )
     members = _copies(base, distinct)
     owners = members if queries is None else _copies(asked, unique)
     return (
         found.withColumnRenamed("neighbor", "rep")
         .join(members.withColumnRenamed("id", "neighbor"), "rep")
-        .select(F.col("query").alias("rep"), "neighbor", "sq")
+        .select(F.col("query").alias("rep"), "neighbor", "sq_distance")
         .join(owners, "rep")
-        .select(F.col("id").alias("query"), "neighbor", F.col("sq").alias("sq_distance"))
+        .select(F.col("id").alias("query"), "neighbor", "sq_distance")
     )
 
 
