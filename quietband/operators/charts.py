@@ -287,9 +287,9 @@ def injectivity(pairs: DataFrame, group: str = "chart_id") -> DataFrame:
         order = Window.partitionBy(group).orderBy(column)
         average = F.rank().over(order) + (F.count("*").over(tied) - 1) / 2.0
         ranked = ranked.withColumn(f"_{column}", average)
-    return ranked.groupBy(group).agg(
-        F.coalesce(F.nanvl(F.corr("_ambient", "_chart"), F.lit(0.0)), F.lit(0.0)).alias("injectivity")
-    )
+    spread = F.stddev_pop("_ambient") * F.stddev_pop("_chart")
+    rank_corr = F.try_divide(F.covar_pop("_ambient", "_chart"), spread)
+    return ranked.groupBy(group).agg(F.coalesce(rank_corr, F.lit(0.0)).alias("injectivity"))
 
 
 def continuity(pairs: DataFrame, group: str = "chart_id") -> DataFrame:
