@@ -173,7 +173,8 @@ def expand_region(
     quota = core.groupBy("unit").agg(
         F.greatest(F.lit(1), F.floor(F.count("*") * F.lit(overlap))).alias("quota")
     )
-    sized = outside.join(F.broadcast(quota), "unit")  # one row per unit
+    # The quota needs two passes; quotas are one row per unit.
+    sized = cut_lineage(outside.join(F.broadcast(quota), "unit"))
     boundary = quota_per_group(sized, "unit", id_col, "quota").select(
         "unit", id_col, F.lit("boundary").alias("role")
     )
@@ -465,11 +466,11 @@ class _AtlasBuilder:
     def _attempt(self, core: DataFrame, units: list[int]) -> dict[int, Chart | None]:
         mine = core.where(F.col("unit").isin(units))
         members = expand_region(mine, self.pairs, self.id_col, self.overlap)
-        located = members.join(self.points, self.id_col)
-        edges = build_edges(located, "features", by="unit", cuts=self.cuts).select(
+        located = cut_lineage(members.join(self.points, self.id_col))
+        edges = build_edges(located, "features", by="unit", cuts=self.cuts, d=self.d).select(
             F.col("unit").cast("int").alias("unit"), "i", "j", "weight"
         )
-        inside = mine.join(self.points, self.id_col)
+        inside = located.where(F.col("role") == "core")
         sample = first_per_group(
             inside.select("unit", F.col(self.id_col).alias("_id"), "features").withColumn(
                 "_order", hash_order("_id", 1)

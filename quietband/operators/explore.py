@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quietband.functions.partials import partial_sums
 from quietband.operators.spectral import mean_power
 from quietband.session import check_broadcast, cut_lineage
 
@@ -112,17 +113,31 @@ def cluster_overlap(points: DataFrame, threshold: float = OVERLAP_FACTOR) -> Dat
 
 def divergent_axes(points: DataFrame, coeffs: str = "coeffs") -> DataFrame:
     """``(cluster_id, axes)``: the 3 components whose mean power differs most from normal."""
+    compared = points.where(F.col("klass").isin("normal", "cluster")).withColumn(
+        "_group", F.when(F.col("klass") == "normal", -1).otherwise(F.col("cluster_id"))
+    )
+    first = points.select(F.size(coeffs)).first()
+    d = first[0] if first else 0
+
+    def block(rows: np.ndarray) -> np.ndarray:
+        return np.concatenate([(rows**2).sum(axis=0), [len(rows)]])
+
+    sums = partial_sums(compared, coeffs, d + 1, block, by="_group")
+    counts = sums.where(F.col("slot") == d).select("grp", F.col("value").alias("n"))
     power = (
-        points.where(F.col("klass").isin("normal", "cluster"))
-        .select("klass", "cluster_id", F.posexplode(coeffs).alias("k", "c"))
-        .groupBy("klass", "cluster_id", "k")
-        .agg(F.avg(F.col("c") * F.col("c")).alias("power"))
+        sums.where(F.col("slot") < d)
+        .join(F.broadcast(counts), "grp")  # one row per group
+        .select("grp", F.col("slot").cast("int").alias("k"), (F.col("value") / F.col("n")).alias("power"))
     )
-    normal = power.where(F.col("klass") == "normal").select("k", F.col("power").alias("base"))
+    normal = power.where(F.col("grp") == -1).select("k", F.col("power").alias("base"))
     gaps = (
-        power.where(F.col("klass") == "cluster")
+        power.where(F.col("grp") >= 0)
         .join(F.broadcast(normal), "k")  # one row per component
-        .select("cluster_id", "k", F.abs(F.col("power") - F.col("base")).alias("gap"))
+        .select(
+            F.col("grp").cast("int").alias("cluster_id"),
+            "k",
+            F.abs(F.col("power") - F.col("base")).alias("gap"),
+        )
     )
     rank = Window.partitionBy("cluster_id").orderBy(F.desc("gap"), "k")
     return (

@@ -145,12 +145,13 @@ def mutual_information_edges(
     by: str | None = None,
     bins: int = MI_BINS,
     cuts: np.ndarray | None = None,
+    d: int | None = None,
 ) -> DataFrame:
     """Mutual information of every column pair on equally filled bins, scaled to 1.
 
     Bins come from the whole table, also when the graphs are per group.
     """
-    d = width_of(df, vector)
+    d = d or width_of(df, vector)
     cuts = equal_depth_cuts(df, vector, d, bins) if cuts is None else cuts
     check_broadcast(d, 8 * bins, "the histogram cut points")
 
@@ -245,18 +246,25 @@ def graph_stats(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def build_edges(
-    df: DataFrame, vector: str = "features", by: str | None = None, cuts: np.ndarray | None = None
+    df: DataFrame,
+    vector: str = "features",
+    by: str | None = None,
+    cuts: np.ndarray | None = None,
+    d: int | None = None,
 ) -> DataFrame:
-    """Thresholded mean of the three graphs, held as a small local table."""
+    """Thresholded mean of the three graphs, held as a small local table.
+
+    Reads ``df`` several times, so pass a stored table.
+    """
     spark = df.sparkSession
-    d = width_of(df, vector)
+    d = d or width_of(df, vector)
     found = moments(df, vector, by, d)
     corr = {g: _absolute_correlation(m.cov) for g, m in found.items()}
     partial = {g: _absolute_partial_correlation(m, "auto") for g, m in found.items()}
     combined = combine_graphs(
         [
             _edges_from_matrices(spark, corr, d, by),
-            mutual_information_edges(df, vector, by, cuts=cuts),
+            mutual_information_edges(df, vector, by, cuts=cuts, d=d),
             _edges_from_matrices(spark, partial, d, by),
         ],
         by,
@@ -268,7 +276,7 @@ def build_edges(
 def build_feature_graph(df: DataFrame, vector: str = "features") -> FeatureGraph:
     """Graph of all columns; its statistics come from the d x d weights at hand."""
     d = width_of(df, vector)
-    edges = build_edges(df, vector)
+    edges = build_edges(df, vector, d=d)
     linked = smallmath.symmetric(edges.toPandas(), d) > 0
     degree = linked.sum(axis=1)
     row = (

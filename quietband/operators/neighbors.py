@@ -26,6 +26,11 @@ MAX_PIVOTS = 4096
 # With fewer blocks of points than this, cells prune too little to pay for themselves.
 PIVOTS_FROM_BLOCKS = 4
 QUERY_CHUNK = 512
+# Entries of one distance block inside a task.
+MAX_BLOCK_ENTRIES = 8_000_000
+# Up to here cells are trained by k-means, beyond it rows chosen by hash serve as centres.
+MAX_TRAINED_CELLS = 1024
+TRAINING_ROWS_PER_CELL = 256
 # Largest right side of a distance matrix that is shipped whole to every task.
 SMALL_SIDE = 1000
 METRICS = ("euclidean", "sqeuclidean", "cityblock", "chebyshev", "cosine")
@@ -53,6 +58,12 @@ def distance_block(left: np.ndarray, right: np.ndarray, metric: str) -> np.ndarr
     return reduce_to
 
 
+def _parts(rows: np.ndarray, width: int):
+    """Slices of ``rows`` whose distances to ``width`` others fit in memory."""
+    step = max(1, MAX_BLOCK_ENTRIES // max(width, 1))
+    return [rows[i : i + step] for i in range(0, len(rows), step)]
+
+
 def _close_pairs(queries, points, k, limits):
     """Row pairs that can be among the k nearest, or within ``limits``, with exact distances.
 
@@ -97,7 +108,9 @@ def _assign(points: DataFrame, pivots: np.ndarray) -> DataFrame:
         rows = to_matrix(batch)
         if not len(rows):
             return pa.array([], pa.struct([("cell", pa.int32()), ("gap", pa.float64())]))
-        cell = distance_block(rows, pivots, "sqeuclidean").argmin(axis=1)
+        cell = np.concatenate(
+            [distance_block(part, pivots, "sqeuclidean").argmin(axis=1) for part in _parts(rows, len(pivots))]
+        )
         gap = np.sqrt(((rows - pivots[cell]) ** 2).sum(axis=1))
         return pa.StructArray.from_arrays(
             [pa.array(cell.astype(np.int32)), pa.array(gap)], names=["cell", "gap"]
@@ -112,7 +125,7 @@ class _Cells:
     """Size and radius of every cell: at most MAX_PIVOTS rows, kept on the driver."""
 
     def __init__(self, assigned: DataFrame, pivots: np.ndarray):
-        self.pivots = pivots
+        self.pivots, self.between = pivots, None
         self.size = np.zeros(len(pivots), dtype=np.int64)
         self.near, self.far = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
         stats = assigned.groupBy("cell").agg(F.count("*").alias("n"), F.min("gap"), F.max("gap"))
@@ -132,8 +145,10 @@ class _Cells:
             if self.size.sum() >= k:
                 limits = np.minimum(limits, certain)
         lowest = np.maximum(to_pivot - self.far[used], self.near[used] - to_pivot)
-        home = to_pivot.argmin(axis=1)
-        between = distance_block(self.pivots[used], self.pivots[used], "euclidean")[home]
+        home = to_pivot.argmin(axis=1)  # position in used
+        if self.between is None:  # once per task
+            self.between = distance_block(self.pivots[used], self.pivots[used], "euclidean")
+        between = self.between[home]
         nearest = to_pivot[np.arange(len(rows)), home][:, None]
         plane = np.divide(
             to_pivot**2 - nearest**2, 2.0 * between, out=np.zeros_like(to_pivot), where=between > 0
@@ -152,7 +167,10 @@ def _route(queries: DataFrame, cells: _Cells, k: int | None) -> DataFrame:
         if not len(rows):
             return pa.array([], pa.list_(pa.int32()))
         bound = limit.to_numpy(zero_copy_only=False)
-        used, visit = cells.candidates(rows, bound, k)
+        parts = _parts(rows, len(cells.pivots))
+        bounds = np.split(bound, np.cumsum([len(p) for p in parts])[:-1])
+        found = [cells.candidates(p, b, k) for p, b in zip(parts, bounds)]
+        used, visit = found[0][0], np.concatenate([v for _, v in found])
         visit &= used[None, :] != home.to_numpy(zero_copy_only=False)[:, None]
         offsets = np.concatenate([[0], np.cumsum(visit.sum(axis=1))]).astype(np.int32)
         flat = used[np.nonzero(visit)[1]].astype(np.int32)
@@ -300,8 +318,13 @@ def _rows(df: DataFrame, id_col: str, vector: str) -> DataFrame:
 
 
 def _distinct_vectors(rows: DataFrame) -> DataFrame:
-    """One representative (smallest id) per distinct vector."""
-    return rows.groupBy("vec").agg(F.min("id").alias("id")).select("id", "vec")
+    """One representative (smallest id) per distinct vector, with its number of rows."""
+    return rows.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+
+
+def _sizes(distinct: DataFrame) -> tuple[int, int]:
+    """Distinct vectors and rows."""
+    return tuple(distinct.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first())
 
 
 def _copies(rows: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -336,7 +359,7 @@ def knn_exact(
         return _as_hits(_few_queries(base, asked, k))
     distinct = cut_lineage(_distinct_vectors(base))
     unique = distinct if queries is None else cut_lineage(_distinct_vectors(asked))
-    n, n_asked = distinct.count(), unique.count()
+    (n, n_rows), (n_asked, n_asked_rows) = _sizes(distinct), _sizes(unique)
     if n <= PIVOTS_FROM_BLOCKS * block_rows:
         found = _single_cell(unique, distinct, n, n_asked, k, block_rows)
     else:
@@ -344,7 +367,7 @@ def knn_exact(
         check_broadcast(len(pivots), 8 * pivots.shape[1], "the pivots")
         found = _search_cells(unique, distinct, pivots, k, block_rows, queries is None)
     hits = _as_hits(_merge(found, k))
-    if n == base.count() and (queries is None or n_asked == asked.count()):
+    if n == n_rows and n_asked == n_asked_rows:
         return hits
 
     # From distinct vectors back to rows: at most k copies of a hit can matter.
@@ -400,10 +423,17 @@ def knn_approx(
     n_cells = n_cells or max(1, int(math.sqrt(n)))
     if n_cells < 2:
         return knn_exact(points, k, queries, id_col, vector, block_rows)
-    model = KMeans(k=n_cells, seed=0, maxIter=10, featuresCol="v").fit(
-        base.select(array_to_vector("vec").alias("v"))
-    )
-    centers = np.array(model.clusterCenters())
+    if n_cells <= MAX_TRAINED_CELLS:
+        share = min(1.0, TRAINING_ROWS_PER_CELL * n_cells / n)
+        chosen = F.pmod(hash_order("id", 13), F.lit(1 << 30)) < int(share * (1 << 30))
+        training = base.where(chosen).select(array_to_vector("vec").alias("v")).persist()
+        try:
+            model = KMeans(k=n_cells, seed=0, maxIter=10, featuresCol="v").fit(training)
+        finally:
+            training.unpersist()
+        centers = np.array(model.clusterCenters())
+    else:
+        centers = _pivots(base, n_cells)
     check_broadcast(len(centers), 8 * centers.shape[1], "the cell centres")
     placed = cut_lineage(_assign(base, centers))
     cells = _Cells(placed, centers)
@@ -414,8 +444,12 @@ def knn_approx(
         rows = to_matrix(batch)
         if not len(rows):
             return pa.array([], pa.list_(pa.int32()))
-        gaps = distance_block(rows, centers, "sqeuclidean")
-        chosen = np.argpartition(gaps, probes - 1, axis=1)[:, :probes]
+        chosen = np.concatenate(
+            [
+                np.argpartition(distance_block(part, centers, "sqeuclidean"), probes - 1, axis=1)[:, :probes]
+                for part in _parts(rows, len(centers))
+            ]
+        )
         return to_lists(chosen.astype(float)).cast(pa.list_(pa.int32()))
 
     routes = cut_lineage(

@@ -131,8 +131,8 @@ def preview(df: DataFrame, order_col: str, n: int = 100) -> DataFrame:
 
 
 def _missing_share(df: DataFrame) -> Column:
-    missing = sum((is_missing(df, c).cast("int") for c in df.columns), F.lit(0))
-    return F.coalesce(F.avg(missing / F.lit(len(df.columns))), F.lit(0.0))
+    holes = F.array_compact(F.array(*[F.when(is_missing(df, c), 1) for c in df.columns]))
+    return F.coalesce(F.avg(F.size(holes) / F.lit(len(df.columns))), F.lit(0.0))
 
 
 def missing_percentage(df: DataFrame) -> DataFrame:

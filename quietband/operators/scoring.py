@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quietband.functions.quantiles import approx_quantiles, exact_quantiles
 from quietband.functions.vectors import to_lists, to_matrix
-from quietband.session import check_broadcast
+from quietband.session import check_broadcast, cut_lineage
 
 MAD_FACTOR = 3.0
 MAD_TO_SIGMA = 1.4826
@@ -248,7 +248,7 @@ def detect_scores(
     method: str = "mad",
     percentile: float = 99.0,
     exact: bool = True,
-    keep=lambda df: df.persist(),
+    keep=cut_lineage,
 ) -> DataFrame:
     """Score and flag points with band norms against given expectations.
 

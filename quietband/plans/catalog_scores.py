@@ -32,6 +32,7 @@ from quietband.plans.inputs import (
     shared_folder,
 )
 from quietband.plans.registry import query
+from quietband.session import cut_lineage
 
 AXIS = np.array([[1.0], [1.0], [1.0], [0.0], [0.0]]) / np.sqrt(3)
 BASES = {c: AXIS for c in CHART_IDS}
@@ -45,7 +46,8 @@ N_BANDS = len(SCORE_BANDS)
 # k-means has no closed form; that every order is in exactly one region has.
 @query("partition_regions", f"WITH {PATH_SQL} SELECT count(*) AS points, count(*) AS ids, true AS in_range FROM gft")
 def partition_regions_query(spark, sf_dir):
-    rotated = spectral.gft(order_points(spark, sf_dir, PATH_COLS), spectral.fit_basis(path_graph(spark), 3))
+    points = cut_lineage(order_points(spark, sf_dir, PATH_COLS))
+    rotated = spectral.gft(points, spectral.fit_basis(path_graph(spark), 3))
     regions = charts.partition_regions(rotated, "id", 1)
     limit = charts.chart_count(rotated.count())
     return regions.agg(
@@ -238,7 +240,7 @@ def tangent_variation_query(spark, sf_dir):
 
 def _manifold(spark, sf_dir):
     basis = spectral.fit_basis(path_graph(spark), 3)
-    points = order_points(spark, sf_dir, PATH_COLS)
+    points = cut_lineage(order_points(spark, sf_dir, PATH_COLS))
     spectrum = spectral.analyze_fourier(points, None, basis=basis)
     regions = charted_points(spark, sf_dir, PATH_COLS).select("id", (F.col("chart_id") - 1).alias("region"))
     return charts.build_manifold(spectrum.coefficients, "id", spectrum, 2, regions=regions)
@@ -329,7 +331,7 @@ def percentile_threshold_query(spark, sf_dir):
     f"WITH {SCORE_SQL} SELECT 0 AS band, {r('t0')} AS threshold FROM thr UNION ALL SELECT 1, {r('t1')} FROM thr",
 )
 def multiple_testing_query(spark, sf_dir):
-    limits, _ = scoring.thresholds_for(_scored(spark, sf_dir), N_BANDS)
+    limits, _ = scoring.thresholds_for(cut_lineage(_scored(spark, sf_dir)), N_BANDS)
     return rounded(spark.createDataFrame(list(enumerate(limits)), "band int, threshold double"))
 
 

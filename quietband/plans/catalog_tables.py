@@ -27,6 +27,7 @@ from quietband.plans.inputs import (
     table,
 )
 from quietband.plans.registry import query
+from quietband.session import cut_lineage
 from quietband.sources.dataset import numeric_matrix, read_dataset, write_dataset
 from quietband.sources.delimited import read_delimited, read_tsv
 from quietband.sources.names import clean_column_names
@@ -340,7 +341,7 @@ mi AS ({pairs})"""
     f"WITH {_mi_sql(fg.MI_BINS)} SELECT i, j, round(greatest(mi, 0) / (SELECT max(mi) FROM mi), 6) + 0.0 AS weight FROM mi",
 )
 def mutual_information_edges_query(spark, sf_dir):
-    return _edge_rows(fg.mutual_information_edges(order_points(spark, sf_dir)))
+    return _edge_rows(fg.mutual_information_edges(cut_lineage(order_points(spark, sf_dir))))
 
 
 THREE = ["lines", "disc", "tax"]
@@ -425,12 +426,13 @@ def graph_stats_query(spark, sf_dir):
   round((abs(corr(x0, x1)) + 1 + greatest(abs(corr(x0, x1)) - 0.01, 0)) / 3, 4) + 0.0 AS weight FROM pts""",
 )
 def build_feature_graph_query(spark, sf_dir):
-    return _edge_rows(fg.build_feature_graph(order_points(spark, sf_dir, ["lines", "qty"])).edges, 4)
+    points = cut_lineage(order_points(spark, sf_dir, ["lines", "qty"]))
+    return _edge_rows(fg.build_feature_graph(points).edges, 4)
 
 
 @query("build_feature_graph_wide")
 def build_feature_graph_wide(spark, sf_dir):
-    return _edge_rows(fg.build_feature_graph(order_points(spark, sf_dir)).edges)
+    return _edge_rows(fg.build_feature_graph(cut_lineage(order_points(spark, sf_dir))).edges)
 
 
 @query(
@@ -441,7 +443,7 @@ SELECT CAST(chart_id AS BIGINT) AS chart_id, 0 AS i, 1 AS j,
   round((abs(c) / sqrt(a * b) + 1 + greatest(abs(c) - 0.01, 0) / sqrt(a * b)) / 3, 4) + 0.0 AS weight FROM g""",
 )
 def region_feature_graph_query(spark, sf_dir):
-    points = charted_points(spark, sf_dir, ["lines", "qty"])
+    points = cut_lineage(charted_points(spark, sf_dir, ["lines", "qty"]))
     return rounded(fg.region_feature_graph(points, "chart_id"), 4)
 
 

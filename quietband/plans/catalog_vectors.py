@@ -30,6 +30,7 @@ from quietband.plans.inputs import (
     rounded,
 )
 from quietband.plans.registry import query
+from quietband.session import cut_lineage
 
 # --- neighbours ------------------------------------------------------------------------------
 
@@ -147,7 +148,7 @@ def dim_local_pca_query(spark, sf_dir):
 
 @query("discover_structure")
 def discover_structure_query(spark, sf_dir):
-    return dimension.discover_structure(order_points(spark, sf_dir), "id")[1]
+    return dimension.discover_structure(cut_lineage(order_points(spark, sf_dir)), "id")[1]
 
 
 # --- vector expressions -----------------------------------------------------------------------------
