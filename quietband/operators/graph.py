@@ -76,7 +76,9 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
 
 
 def _fingerprint(pairs: DataFrame) -> tuple:
-    row = pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v"))).first()
+    row = pairs.agg(
+        F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))
+    ).first()
     return tuple(row)
 
 
@@ -213,7 +215,7 @@ def clustering_coefficient(edges: DataFrame, nodes: DataFrame | None = None) ->
     longer than sqrt(2 * edges) even at a hub, and triangles come from
     intersecting two lists instead of listing the pairs around a node.
     """
-    simple = (
+    simple = cut_lineage(
         edges.where((F.col("weight") > 0) & (F.col("i") != F.col("j")))
         .select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.lit(1.0).alias("weight"))
         .distinct()
@@ -223,9 +225,11 @@ def clustering_coefficient(edges: DataFrame, nodes: DataFrame | None = None) ->
         degree.select(F.col("node").alias("i"), F.col("degree").alias("di")), "i"
     ).join(degree.select(F.col("node").alias("j"), F.col("degree").alias("dj")), "j")
     first = F.struct(F.col("di"), F.col("i")) < F.struct(F.col("dj"), F.col("j"))
-    arcs = ranked.select(
-        F.when(first, F.col("i")).otherwise(F.col("j")).alias("a"),
-        F.when(first, F.col("j")).otherwise(F.col("i")).alias("b"),
+    arcs = cut_lineage(
+        ranked.select(
+            F.when(first, F.col("i")).otherwise(F.col("j")).alias("a"),
+            F.when(first, F.col("j")).otherwise(F.col("i")).alias("b"),
+        )
     )
     out = arcs.groupBy("a").agg(F.collect_list("b").alias("out"))
     triangles = (

@@ -191,17 +191,22 @@ def _block_join(routes, points, sizes: np.ndarray, k: int | None, block: int, vi
     spark = points.sparkSession
     if visits is None:
         visits = {r["cell"]: r["count"] for r in routes.groupBy("cell").count().collect()}
-    plan = spark.createDataFrame(
-        [
-            (int(c), max(1, math.ceil(n / block)), max(1, math.ceil(int(sizes[c]) / block)))
-            for c, n in visits.items()
-            if sizes[c]
-        ],
-        "cell int, q_parts int, p_parts int",
-    )
-    plan = F.broadcast(plan)  # one row per cell, at most MAX_PIVOTS
+    parts = [
+        (int(c), max(1, math.ceil(n / block)), max(1, math.ceil(int(sizes[c]) / block)))
+        for c, n in visits.items()
+        if sizes[c]
+    ]
+
+    def with_parts(rows: DataFrame) -> DataFrame:
+        if len(parts) == 1:
+            cell, q_parts, p_parts = parts[0]
+            only = rows.where(F.col("cell") == cell)
+            return only.withColumns({"q_parts": F.lit(q_parts), "p_parts": F.lit(p_parts)})
+        plan = spark.createDataFrame(parts, "cell int, q_parts int, p_parts int")
+        return rows.join(F.broadcast(plan), "cell")  # one row per cell
+
     left = (
-        routes.join(plan, "cell")
+        with_parts(routes)
         .withColumn("q_part", F.pmod(hash_order("id", 3), F.col("q_parts")).cast("int"))
         .withColumn("p_part", F.explode(F.sequence(F.lit(0), F.col("p_parts") - 1)))
         .select(
@@ -209,7 +214,7 @@ def _block_join(routes, points, sizes: np.ndarray, k: int | None, block: int, vi
         )
     )
     right = (
-        points.join(plan, "cell")
+        with_parts(points)
         .withColumn("p_part", F.pmod(hash_order("id", 5), F.col("p_parts")).cast("int"))
         .withColumn("q_part", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)))
         .select(*[F.col(c).alias(f"p_{c}") for c in ("cell", "q_part", "p_part", "id", "vec")])
