@@ -19,7 +19,7 @@ WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 WORD = r"[^\x20\x09-\x0D]+"
 # Groups a size class of a source is split into, and documents per group at large sizes.
-MIN_GROUPS = 16
+MIN_GROUPS = 4
 GROUP_DOCS = 10_000_000
 
 
@@ -80,7 +80,7 @@ def mix_sources(
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_source"),
         size.alias("_size"),
         F.xxhash64(F.lit(seed), F.col(id_col), size).alias("_hash"),
-    ).withColumn("_class", F.floor(8 * F.log2(F.col("_size") + 1)).cast("int"))
+    ).withColumn("_class", F.floor(32 * F.log2(F.col("_size") + 1)).cast("int"))
     sized = sized.withColumn("_group", F.pmod("_hash", F.lit(groups)).cast("int"))
     where = ["_none", "_source", "_class", "_group"]
     counted = store(sized.groupBy(*where).agg(F.count("*").alias("_rows"), F.sum("_size").alias("_words")), "sizes")
@@ -90,7 +90,7 @@ def mix_sources(
     line = Window.partitionBy("_none", "_source").orderBy("_class", "_group")
     starts = counted.withColumn("_before", F.sum("_rows").over(line) - F.col("_rows"))
     starts = store(starts.select(*where, "_before").join(targets, ["_none", "_source"]), "lines")
-    along = Window.partitionBy(*where).orderBy("_hash", "k_" + id_col if id_col in keep else "_hash")
+    along = Window.partitionBy(*where).orderBy("_size", "_hash")
     rate = F.coalesce(F.try_divide("target", "_source_size"), F.lit(0.0))
     offset = F.pmod(F.xxhash64(F.lit(seed), "_none", "_source"), F.lit(1 << 52)) / F.lit(float(1 << 52))
     place = F.col("_before") + F.row_number().over(along) - 1
