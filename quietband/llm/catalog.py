@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quietband.llm.common import table
+from quietband.llm.jaccard_join import jaccard_components
 from quietband.llm.mixing import mix_sources
 from quietband.llm.packing import harmonic_pack, tokenized_pieces
 from quietband.llm.url_rules import match_rules
@@ -43,10 +44,15 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op6_url_filter": op6_url_filter,
     "op7_mixing": op7_mixing,
+    "op9_jaccard_join": op9_jaccard_join,
 }
 
 OP6_SQL = r"""
