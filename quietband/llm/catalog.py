@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from quietband.llm.common import table
 from quietband.llm.jaccard_join import jaccard_components
 from quietband.llm.mixing import mix_sources
+from quietband.llm.near_vectors import near_vectors
 from quietband.llm.packing import harmonic_pack, tokenized_pieces
 from quietband.llm.url_rules import match_rules
+from quietband.llm.vp_tree import nearest
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,6 +31,14 @@ def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonic_pack(tokenized_pieces(docs, WORD_TOKENIZER, PACK_END_ID))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op3_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_rules(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -50,6 +60,8 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_harmonic_packing": op1_harmonic_packing,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
+    "op3_vantage_point_search": op3_vantage_point_search,
     "op6_url_filter": op6_url_filter,
     "op7_mixing": op7_mixing,
     "op9_jaccard_join": op9_jaccard_join,
