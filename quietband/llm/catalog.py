@@ -11,12 +11,14 @@ from quietband.llm.jaccard_join import jaccard_components
 from quietband.llm.mixing import mix_sources
 from quietband.llm.near_vectors import near_vectors
 from quietband.llm.packing import harmonic_pack, tokenized_pieces
+from quietband.llm.token_files import token_files
 from quietband.llm.url_rules import match_rules
 from quietband.llm.vp_tree import nearest
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PACK_END_ID = 2
+FILE_END_ID = 0
 # The rules of op6.
 URL_RULES = [
     ("net/", "block"),
@@ -39,6 +41,10 @@ def op3_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(spark, table(spark, sf_dir, "documents"), BYTE_TOKENIZER, FILE_END_ID)
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_rules(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -62,6 +68,7 @@ QUERIES = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_vantage_point_search": op3_vantage_point_search,
+    "op5_token_files": op5_token_files,
     "op6_url_filter": op6_url_filter,
     "op7_mixing": op7_mixing,
     "op9_jaccard_join": op9_jaccard_join,
