@@ -11,7 +11,9 @@ from quietband.llm.jaccard_join import jaccard_components
 from quietband.llm.mixing import mix_sources
 from quietband.llm.near_vectors import near_vectors
 from quietband.llm.packing import harmonic_pack, tokenized_pieces
+from quietband.llm.quality import score_quality
 from quietband.llm.token_files import token_files
+from quietband.llm.toxicity import score_toxicity
 from quietband.llm.url_rules import match_rules
 from quietband.llm.vp_tree import nearest
 
@@ -41,6 +43,10 @@ def op3_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op4_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(spark, table(spark, sf_dir, "documents"), BYTE_TOKENIZER, FILE_END_ID)
 
@@ -60,6 +66,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -68,9 +78,11 @@ QUERIES = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_vantage_point_search": op3_vantage_point_search,
+    "op4_quality_ranking": op4_quality_ranking,
     "op5_token_files": op5_token_files,
     "op6_url_filter": op6_url_filter,
     "op7_mixing": op7_mixing,
+    "op8_toxicity_grammar": op8_toxicity_grammar,
     "op9_jaccard_join": op9_jaccard_join,
 }
 
