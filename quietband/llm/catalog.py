@@ -11,6 +11,7 @@ from quietband.llm.jaccard_join import jaccard_components
 from quietband.llm.mixing import mix_sources
 from quietband.llm.near_vectors import near_vectors
 from quietband.llm.packing import harmonic_pack, tokenized_pieces
+from quietband.llm.pii import report_pii
 from quietband.llm.quality import score_quality
 from quietband.llm.token_files import token_files
 from quietband.llm.toxicity import score_toxicity
@@ -74,6 +75,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op10_pii_labelers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report_pii(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -84,6 +89,7 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_toxicity_grammar": op8_toxicity_grammar,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_pii_labelers": op10_pii_labelers,
 }
 
 OP6_SQL = r"""
