@@ -1,13 +1,44 @@
-"""Corpus pipeline over ``documents``: each stage calls one operator of ``quietband.llm``."""
+"""Corpus pipeline over ``documents``: each stage calls one operator of ``quietband.llm``.
+
+Toxic documents go, one document of each near-duplicate group stays, personal data
+is masked, sources are mixed to their target weights, and what is left is packed
+into token sequences. Every stage works on all rows that the one before it kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quietband.llm.catalog import PACK_END_ID, WORD_TOKENIZER
+from quietband.llm.catalog import PACK_END_ID, TOXIC_FROM, WORD_TOKENIZER
 from quietband.llm.common import store, table
+from quietband.llm.jaccard_join import jaccard_components
 from quietband.llm.mixing import emit_copies, mix_sources
 from quietband.llm.packing import harmonic_pack, tokenized_pieces
+from quietband.llm.pii import SpanModel, redact
+from quietband.llm.toxicity import ToxicityModel
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score stays below the threshold."""
+    model = ToxicityModel.fit(docs, table(spark, sf_dir, "labels"))
+    return model.score(docs, keep=docs.columns).where(F.col("_score") < TOXIC_FROM).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of linked documents."""
+    groups = jaccard_components(docs.select("doc_id", "text"))
+    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data replaced by its kind; ``n_chars`` follows the new text."""
+    masked = redact(docs, SpanModel.fit(docs))
+    if "n_chars" not in docs.columns:
+        return masked
+    kind = docs.schema["n_chars"].dataType
+    return masked.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,6 +52,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_copies", drop_near_copies),
+    ("private_data", mask_private),
     ("mixing", mix),
     ("packing", pack),
 ]
@@ -29,6 +63,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn, each one's result stored and read again as the next one's documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = store(stage(spark, docs, sf_dir), name)

@@ -22,6 +22,7 @@ WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PACK_END_ID = 2
 FILE_END_ID = 0
+TOXIC_FROM = 0.3
 # The rules of op6.
 URL_RULES = [
     ("net/", "block"),
@@ -68,7 +69,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), TOXIC_FROM)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
