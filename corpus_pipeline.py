@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quietband.llm.catalog import PACK_END_ID, TOXIC_FROM, WORD_TOKENIZER
 from quietband.llm.common import store, table
 from quietband.llm.jaccard_join import jaccard_components
-from quietband.llm.mixing import emit_copies, mix_sources
+from quietband.llm.mixing import mixed_documents
 from quietband.llm.packing import harmonic_pack, tokenized_pieces
 from quietband.llm.pii import SpanModel, redact
 from quietband.llm.toxicity import ToxicityModel
@@ -22,7 +22,7 @@ from quietband.llm.toxicity import ToxicityModel
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below the threshold."""
     model = ToxicityModel.fit(docs, table(spark, sf_dir, "labels"))
-    return model.score(docs, keep=docs.columns).where(F.col("_score") < TOXIC_FROM).select(*docs.columns)
+    return model.keep_below(docs, TOXIC_FROM)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the source mix takes them."""
-    return emit_copies(mix_sources(docs), docs.columns)
+    return mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

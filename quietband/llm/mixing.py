@@ -55,27 +55,21 @@ def source_targets(
     return weighed.withColumn("target", target).drop("_weight")
 
 
-def mix_sources(
+def _laid_out(
     docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    weights=WEIGHTS,
-    most: int = MOST_COPIES,
-    seed: int = 11,
-    keep: list[str] | None = None,
+    keep: list[str],
+    id_col: str,
+    text_col: str,
+    source_col: str,
+    weights,
+    most: int,
+    seed: int,
 ) -> DataFrame:
-    """Columns ``keep`` (default all) with ``_size``, ``_source_size``, ``_target``, ``_copies``.
-
-    One row per row of ``docs``. A NULL or empty text has size 0; NULL is a source
-    of its own. The result depends on ids, sizes and the seed alone, not on the
-    partitioning; rows that agree in them are interchangeable.
-    """
-    keep = docs.columns if keep is None else keep
+    """Columns ``keep`` as ``k0``, ``k1``, .. with ``size``, ``source_size``, ``target``, ``copies``."""
     groups = max(MIN_GROUPS, docs.count() // GROUP_DOCS)
     size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
     sized = docs.select(
-        *[F.col(c).alias(f"k_{c}") for c in keep],
+        *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)],
         F.col(source_col).isNull().alias("_none"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_source"),
         size.alias("_size"),
@@ -96,15 +90,46 @@ def mix_sources(
     place = F.col("_before") + F.row_number().over(along) - 1
     crossed = F.floor((place + 1) * rate + offset) - F.floor(place * rate + offset)
     return sized.join(starts, where).select(
-        *[F.col(f"k_{c}").alias(c) for c in keep],
-        "_size",
-        "_source_size",
-        F.col("target").alias("_target"),
-        F.least(crossed, F.lit(most)).cast("long").alias("_copies"),
+        *[f"k{i}" for i in range(len(keep))],
+        F.col("_size").alias("size"),
+        F.col("_source_size").alias("source_size"),
+        "target",
+        F.least(crossed, F.lit(most)).cast("long").alias("copies"),
     )
 
 
-def emit_copies(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """Every document as often as its line crosses an integer; columns as they came."""
-    copies = F.when(F.col("_copies") > 0, F.sequence(F.lit(1), F.col("_copies")))
-    return mixed.withColumn("_copy", F.explode(copies)).select(*columns)
+def mix_sources(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights=WEIGHTS,
+    most: int = MOST_COPIES,
+    seed: int = 11,
+) -> DataFrame:
+    """``(id, size, source_size, target, copies)``, one row per row of ``docs``.
+
+    A NULL or empty text has size 0 and an empty source target 0; NULL is a source of
+    its own. The result depends on ids, sizes and the seed alone, not on the
+    partitioning; rows that agree in them are interchangeable. Other columns are
+    ignored; an empty table gives an empty result.
+    """
+    return _laid_out(docs, [id_col], id_col, text_col, source_col, weights, most, seed).withColumnRenamed(
+        "k0", id_col
+    )
+
+
+def mixed_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights=WEIGHTS,
+    most: int = MOST_COPIES,
+    seed: int = 11,
+) -> DataFrame:
+    """Rows of ``docs``, each as often as ``mix_sources`` takes it; columns as they came."""
+    laid = _laid_out(docs, docs.columns, id_col, text_col, source_col, weights, most, seed)
+    copies = F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies")))
+    emitted = laid.withColumn("copy", F.explode(copies))
+    return emitted.select(*[f"k{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)

@@ -221,7 +221,9 @@ def redact(docs: DataFrame, model: SpanModel, text_col: str = "text") -> DataFra
 
     NULL texts stay NULL; texts without spans stay as they are.
     """
-    text = F.col(text_col)
+    columns = [f"k{i}" for i in range(len(docs.columns))]  # other columns may have any name
+    held_text = columns[docs.columns.index(text_col)]
+    text = F.col(held_text)
     placed = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"], s["end"], s["kind"])))
 
     def step(held: Column, s: Column) -> Column:
@@ -237,6 +239,6 @@ def redact(docs: DataFrame, model: SpanModel, text_col: str = "text") -> DataFra
     masked = F.aggregate(
         placed, begin, step, lambda held: F.concat(held["out"], F.substring(text, held["at"] + 1, F.length(text)))
     )
-    found = find_pii(docs, model, text_col)
+    found = find_pii(docs.toDF(*columns), model, held_text)
     new = F.when(F.size("_spans") > 0, masked).otherwise(text)
-    return found.select(*[new.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    return found.select(*[new if c == held_text else F.col(c) for c in columns]).toDF(*docs.columns)

@@ -96,8 +96,9 @@ class Grammar:
         seen = self.seen
         if len(seen) > 300_000:
             seen.clear()
-        for word in set(words) - seen.keys():
-            seen[word] = self.mark(word)
+        for word in set(words):
+            if word not in seen:
+                seen[word] = self.mark(word)
         marks = list(map(seen.__getitem__, words))
         if not any(kind in (INSULT, THREATENS) for kind, _ in set(marks)):
             return [0.0] * FEATURES
@@ -204,19 +205,26 @@ class ToxicityModel:
         x = np.hstack([np.array([r["x"] for r in rows]), np.ones((len(rows), 1))])
         return ToxicityModel(learn_stems(texts), logistic(x, y).tolist())
 
-    def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-        """``keep`` columns (default the id) and ``score`` between 0 and 1 for every row.
+    def _scored(self, docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
+        """Columns ``keep`` as ``k0``, ``k1``, .. with ``score``."""
+        names = [f"k{i}" for i in range(len(keep))]
+        named = docs.select(*[F.col(c).alias(k) for c, k in zip(keep, names)], F.col(text_col).alias("text"))
+        logit = sum((F.get("x", F.lit(i)) * w for i, w in enumerate(self.weights[:-1])), F.lit(self.weights[-1]))
+        found = _featured(named, self.stems, names)
+        return found.select(*names, (1 / (1 + F.exp(-logit))).alias("score"))
+
+    def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """``(id, score)`` for every row, the score between 0 and 1.
 
         NULL and empty texts are scored as texts without matched clauses. Ids and all
         other columns are no inputs.
         """
-        keep = [id_col] if keep is None else keep
-        named = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("text"))
-        found = _featured(named, self.stems, [f"k{i}" for i in range(len(keep))])
-        logit = sum((F.get("x", F.lit(i)) * w for i, w in enumerate(self.weights[:-1])), F.lit(self.weights[-1]))
-        return found.select(
-            *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], (1 / (1 + F.exp(-logit))).alias("_score")
-        )
+        return self._scored(docs, [id_col], text_col).withColumnRenamed("k0", id_col)
+
+    def keep_below(self, docs: DataFrame, threshold: float, text_col: str = "text") -> DataFrame:
+        """Rows of ``docs`` that score less than ``threshold``; columns as they came."""
+        kept = self._scored(docs, docs.columns, text_col).where(F.col("score") < threshold)
+        return kept.drop("score").toDF(*docs.columns)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -225,6 +233,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
     return scored.select(
         "doc_id",
         held_out("doc_id", 4, 2).alias("held_out"),
-        F.col("_score").alias("score"),
-        (F.col("_score") >= threshold).cast("int").alias("predicted"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
