@@ -26,10 +26,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked documents."""
-    groups = jaccard_components(docs.select("doc_id", "text"))
+    """The document with the smallest id of each group of linked documents.
+
+    Of rows that repeat an id one stays; documents without an id stay.
+    """
+    groups = store(jaccard_components(docs.select("doc_id", "text")), "groups")
     gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(gone, "doc_id", "left_anti")
+    ids = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count()
+    repeated = ids.where(F.col("count") > 1).select("doc_id")
+    once = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns)
+    return once.unionByName(kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
 
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,7 +55,8 @@ def _codes(points: np.ndarray, width: int, tables: int, seed: int) -> np.ndarray
     shift = rng.uniform(0, WIDTH, size=width * tables)
     cells = np.floor((points @ ways + shift) / WIDTH).astype(np.int64).view(np.uint64)
     cells = cells.reshape(len(points), tables, width) * _multipliers(width, 5)
-    return mixed(cells.sum(axis=2, dtype=np.uint64) + _multipliers(tables, 6)).view(np.int64)
+    named = _multipliers(tables, 6) * np.uint64(2 * points.shape[1] + 1)  # one length, one set of names
+    return mixed(cells.sum(axis=2, dtype=np.uint64) + named).view(np.int64)
 
 
 def _hashed(classes: DataFrame, width: int, tables: int, seed: int) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from quietband.llm.vectors import matrix, usable
 
 NEIGHBOURS = 20
-FACTOR = 0.3
+FACTOR = 0.6
 SHARD_ROWS = 16_384
 MIN_SHARDS = 24
 BLOCK_QUERIES = 4_096
