@@ -1,9 +1,10 @@
 """Exact quantiles of whole columns without gathering them in one task.
 
 ``percentile`` keeps every distinct value of a column in one aggregation
-buffer. Here an approximate sketch only brackets each wanted rank; the rows
-inside the bracket are counted by value, so the answer is exact and what
-reaches the driver is bounded.
+buffer. Here an approximate sketch proposes two values around each wanted rank;
+the rows below, at, between and above them are counted, which either settles the
+rank or leaves an open interval without the two values. So every round makes
+progress whatever ties the column holds, and the last rows are counted by value.
 """
 
 from __future__ import annotations
@@ -15,47 +16,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SKETCH_ACCURACY = 10_000
-# Rows of one bracket the driver reads at most.
+# Rows of one bracket the driver reads at most, counted by value.
 MAX_BRACKET_ROWS = 20_000
+# Rank error allowed for when the sketch is asked for values around a rank.
+MARGIN = 2.0 / SKETCH_ACCURACY
 
 
 @dataclass
-class _Target:
-    """One wanted quantile of one column and the bracket thought to contain it."""
+class _Rank:
+    """One wanted rank of one column and the open interval that holds it."""
 
     name: str
-    prob: float
-    total: int
+    rank: int
+    inside: int
     low: float | None = None
     high: float | None = None
     below: int = 0
-    inside: int = 0
-    margin: float = 2.0 / SKETCH_ACCURACY
     value: float | None = None
 
-    def __post_init__(self) -> None:
-        self.inside = self.total
-        self.position = (self.total - 1) * self.prob
-        self.low_rank, self.high_rank = math.floor(self.position), math.ceil(self.position)
-
     def within(self, column: Column) -> Column:
-        if self.low is None:
-            return column.isNotNull()
-        return column.between(self.low, self.high)
-
-    def missed(self) -> bool:
-        """Start over with a wider margin when the ranks lie outside the bracket."""
-        if self.below <= self.low_rank and self.high_rank < self.below + self.inside:
-            return False
-        if self.margin >= 1.0:
-            raise RuntimeError(f"no bracket contains quantile {self.prob} of {self.name}")
-        self.low = self.high = None
-        self.below, self.inside, self.margin = 0, self.total, self.margin * 8
-        return True
+        held = column.isNotNull()
+        if self.low is not None:
+            held = held & (column > self.low)
+        if self.high is not None:
+            held = held & (column < self.high)
+        return held
 
     def points(self) -> list[float]:
-        middle = (self.position - self.below) / max(self.inside - 1, 1)
-        return [max(middle - self.margin, 0.0), min(middle + self.margin, 1.0)]
+        middle = (self.rank - self.below) / max(self.inside - 1, 1)
+        return [max(middle - MARGIN, 0.0), min(middle + MARGIN, 1.0)]
+
+    def narrow(self, a: float, b: float, under: int, at_a: int, between: int, at_b: int) -> None:
+        """Settle the rank at ``a`` or ``b``, or go on in the interval beside or between them."""
+        place = self.rank - self.below
+        if place < under:
+            self.high, self.inside = a, under
+        elif place < under + at_a:
+            self.value = a
+        elif place < under + at_a + between:
+            self.low, self.high, self.below, self.inside = a, b, self.below + under + at_a, between
+        elif place < under + at_a + between + at_b:
+            self.value = b
+        else:
+            passed = under + at_a + between + at_b
+            self.low, self.below, self.inside = b, self.below + passed, self.inside - passed
 
 
 def exact_quantiles(
@@ -74,66 +78,70 @@ def exact_quantiles(
     )
     column_of = {name: F.col(f"v{i}") for i, name in enumerate(names)}
     totals = clean.agg(*[F.count(c).alias(n) for n, c in column_of.items()]).first()
-    targets = {n: [_Target(n, p, totals[n]) for p in probs] for n in names}
-
-    pending = [t for group in targets.values() for t in group if t.total]
+    ranks: dict[tuple[str, int], _Rank] = {}
+    for name in names:
+        for prob in probs if totals[name] else []:
+            position = (totals[name] - 1) * prob
+            for rank in (math.floor(position), math.ceil(position)):
+                ranks.setdefault((name, rank), _Rank(name, rank, totals[name]))
+
+    pending = list(ranks.values())
     while pending:
-        wide = [t for t in pending if t.inside > MAX_BRACKET_ROWS]
-        _sketch(clean, column_of, wide)
-        _count_brackets(clean, column_of, wide)
-        pending = [t for t in pending if t.value is None]
-        _read_brackets(clean, column_of, [t for t in pending if t.inside <= MAX_BRACKET_ROWS])
-        pending = [t for t in pending if t.value is None]
-    return {n: [t.value for t in group] for n, group in targets.items()}
+        _narrow(clean, column_of, [r for r in pending if r.inside > MAX_BRACKET_ROWS])
+        pending = [r for r in pending if r.value is None]
+        _read_brackets(clean, column_of, [r for r in pending if r.inside <= MAX_BRACKET_ROWS])
+        pending = [r for r in pending if r.value is None]
+
+    def interpolated(name: str, prob: float) -> float | None:
+        if not totals[name]:
+            return None
+        position = (totals[name] - 1) * prob
+        low, high = (ranks[name, f(position)].value for f in (math.floor, math.ceil))
+        return low + (high - low) * (position - math.floor(position)) if low != high else low
+
+    return {name: [interpolated(name, prob) for prob in probs] for name in names}
 
 
-def _by_bracket(targets: list[_Target]) -> dict[tuple, list[_Target]]:
-    groups: dict[tuple, list[_Target]] = {}
-    for t in targets:
-        groups.setdefault((t.name, t.low, t.high), []).append(t)
-    return groups
+def _by_bracket(ranks: list[_Rank]) -> list[list[_Rank]]:
+    groups: dict[tuple, list[_Rank]] = {}
+    for r in ranks:
+        groups.setdefault((r.name, r.low, r.high), []).append(r)
+    return list(groups.values())
 
 
-def _sketch(clean: DataFrame, column_of, targets: list[_Target]) -> None:
-    """Narrow each bracket around its ranks from the rows still inside it."""
-    if not targets:
+def _narrow(clean: DataFrame, column_of, ranks: list[_Rank]) -> None:
+    """One sketch and one count over all intervals that still hold many rows."""
+    if not ranks:
         return
-    groups = list(_by_bracket(targets).values())
+    groups = _by_bracket(ranks)
     row = clean.agg(
         *[
             F.percentile_approx(
                 F.when(group[0].within(column_of[group[0].name]), column_of[group[0].name]),
-                F.array(*[F.lit(p) for t in group for p in t.points()]),
+                F.array(*[F.lit(p) for r in group for p in r.points()]),
                 SKETCH_ACCURACY,
             ).alias(f"s{i}")
             for i, group in enumerate(groups)
         ]
     ).first()
+    asked, aggregates = [], []
     for i, group in enumerate(groups):
-        for j, t in enumerate(group):
-            t.low, t.high = row[f"s{i}"][2 * j : 2 * j + 2]
-
-
-def _count_brackets(clean: DataFrame, column_of, targets: list[_Target]) -> None:
-    if not targets:
-        return
-    aggregates = []
-    for i, t in enumerate(targets):
-        column = column_of[t.name]
-        aggregates.append(F.count_if(column < t.low).alias(f"b{i}"))
-        aggregates.append(F.count_if(t.within(column)).alias(f"c{i}"))
-    row = clean.agg(*aggregates).first()
-    for i, t in enumerate(targets):
-        t.below, t.inside = row[f"b{i}"], row[f"c{i}"]
-        if not t.missed() and t.low == t.high:
-            t.value = t.low
-
-
-def _read_brackets(clean: DataFrame, column_of, targets: list[_Target]) -> None:
-    """Count the rows inside small brackets by value and pick the wanted ranks."""
-    if not targets:
+        for j, r in enumerate(group):
+            a, b = row[f"s{i}"][2 * j : 2 * j + 2]
+            column, held, k = column_of[r.name], r.within(column_of[r.name]), len(asked)
+            parts = (column < a, column == a, (column > a) & (column < b), (column == b) & F.lit(a != b))
+            aggregates += [F.count_if(held & part).alias(f"c{k}_{n}") for n, part in enumerate(parts)]
+            asked.append((r, a, b))
+    counts = clean.agg(*aggregates).first()
+    for k, (r, a, b) in enumerate(asked):
+        r.narrow(a, b, *[counts[f"c{k}_{n}"] for n in range(4)])
+
+
+def _read_brackets(clean: DataFrame, column_of, ranks: list[_Rank]) -> None:
+    """Count the rows inside small intervals by value and pick the wanted ranks."""
+    if not ranks:
         return
-    groups = list(_by_bracket(targets).values())
+    groups = _by_bracket(ranks)
     inside = F.array(
         *[
             F.when(
@@ -153,10 +161,8 @@ def _read_brackets(clean: DataFrame, column_of, targets: list[_Target]) -> None:
     for r in sorted((r["q"], r["v"], r["rows"]) for r in rows):
         counts[r[0]].append(r[1:])
     for group, counted in zip(groups, counts):
-        for t in group:
-            low = _at(counted, t.low_rank - t.below)
-            high = _at(counted, t.high_rank - t.below)
-            t.value = low + (high - low) * (t.position - t.low_rank)
+        for r in group:
+            r.value = _at(counted, r.rank - r.below)
 
 
 def _at(counts: list[tuple[float, int]], rank: int) -> float:

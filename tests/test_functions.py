@@ -110,3 +110,15 @@ def test_normalize_and_projections(points):
     assert out[0]["t"] == pytest.approx([3.0, 0.0, 0.0])
     assert out[0]["n"] == pytest.approx([0.0, 4.0, 0.0])
     assert out[0]["none"] == [0.0, 0.0, 0.0]
+
+
+@pytest.mark.parametrize("values", [[0, 1], [0, 0, 0, 1], [1, 2, 5], [-1.5, -1.5, 7, 7, 7, 9], [3]])
+def test_exact_quantiles_end_on_few_values(spark, monkeypatch, values):
+    monkeypatch.setattr(quantiles, "MAX_BRACKET_ROWS", 50)
+    rows = spark.range(0, 12_000, 1, 4).select(
+        F.element_at(F.array(*map(F.lit, map(float, values))), (F.col("id") % len(values) + 1).cast("int")).alias("x")
+    )
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+    full = np.sort(np.resize(np.array(values, float), 12_000))
+    found = quantiles.exact_quantiles(rows, {"x": F.col("x")}, probs)["x"]
+    assert np.allclose(found, np.quantile(full, probs))
