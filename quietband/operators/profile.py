@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,34 +84,17 @@ def column_info(df: DataFrame, order_col: str) -> DataFrame:
 
 
 def _samples(df: DataFrame, order_col: str) -> DataFrame:
-    """First values per column; each task passes on a handful of rows only."""
-    texts = df.select(
-        F.col(f"`{order_col}`").alias("_order"),
-        *[
-            F.when(_known(df, c), F.col(f"`{c}`").cast("string")).alias(f"c{i}")
-            for i, c in enumerate(df.columns)
-        ],
-    )
-    width = len(df.columns)
-    order_type = texts.schema["_order"].dataType.simpleString()
-
-    def leading(batches):
-        kept = [None] * width
-        for batch in batches:
-            for i in range(width):
-                known = batch.loc[batch[f"c{i}"].notna(), ["_order", f"c{i}"]]
-                known = known.rename(columns={f"c{i}": "value"}).assign(position=i)
-                merged = known if kept[i] is None else pd.concat([kept[i], known])
-                kept[i] = merged.sort_values("_order", kind="stable").head(SAMPLE_SIZE)
-        for part in kept:
-            if part is not None and len(part):
-                yield part[["position", "_order", "value"]]
-
+    """First values per column: two columns are read for each, and a handful of rows kept."""
+    order = F.col(f"`{order_col}`")
+    parts = []
+    for i, name in enumerate(df.columns):
+        text = F.col(f"`{name}`").cast("string").alias("value")
+        held = df.where(_known(df, name)).select(F.lit(i).alias("position"), order.alias("_order"), text)
+        parts.append(held.orderBy("_order", "value").limit(SAMPLE_SIZE))
     rank = Window.partitionBy("position").orderBy("_order", "value")
     return (
-        texts.mapInPandas(leading, f"position int, _order {order_type}, value string")
+        reduce(DataFrame.unionByName, parts)
         .withColumn("rank", F.row_number().over(rank))
-        .where(F.col("rank") <= SAMPLE_SIZE)
         .groupBy("position")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("s"))
         .select("position", F.col("s.value").alias("samples"))

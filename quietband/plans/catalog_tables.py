@@ -41,7 +41,7 @@ def _single_file(df, suffix: str, sep: str) -> str:
     """Write a delimited file the way users bring one, and name it."""
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}"
-    df.coalesce(1).write.options(header=True, sep=sep).csv(folder)
+    df.coalesce(1).write.options(header=True, sep=sep, escape='"').csv(folder)
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
     system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -61,6 +61,19 @@ def read_delimited_query(spark, sf_dir):
     return rounded(read_delimited(spark, _single_file(table(spark, sf_dir, "part"), ".csv", ";")))
 
 
+QUOTED_SQL = PART_SQL.replace(
+    "p_name,", """'the "' || p_name || '"' || chr(10) || 'second; line' AS p_name,"""
+)
+
+
+@query("read_delimited_quoted", QUOTED_SQL)
+def read_delimited_quoted_query(spark, sf_dir):
+    """Names with quotes, separators and line breaks, written as other programs write them."""
+    named = F.concat(F.lit('the "'), "p_name", F.lit('"\nsecond; line'))
+    part = table(spark, sf_dir, "part").withColumn("p_name", named)
+    return rounded(read_delimited(spark, _single_file(part, ".csv", ";")))
+
+
 @query("read_tsv", PART_SQL)
 def read_tsv_query(spark, sf_dir):
     return rounded(read_tsv(spark, _single_file(table(spark, sf_dir, "part"), ".tab", "\t")))

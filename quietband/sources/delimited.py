@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
+import io
+from collections import Counter
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,11 +16,12 @@ from quietband.sources.names import clean_column_names
 
 HEAD_BYTES = 10_240
 SEPARATORS = ",;\t|"
-ENCODINGS = ("utf-8", "latin-1", "cp1252")
 EXTENSIONS = (".csv", ".tsv", ".tab")
-# Spark's names for the encodings above.
-SPARK_ENCODING = {"utf-8": "UTF-8", "latin-1": "ISO-8859-1", "cp1252": "windows-1252"}
-_EXTRA = "_surplus_field"
+# Spark's names for the encodings that are detected.
+SPARK_ENCODING = {"utf-8": "UTF-8", "latin-1": "ISO-8859-1"}
+# Fields beyond the last column that are looked at to find lines with too many.
+SURPLUS_FIELDS = 16
+_EXTRA = "_surplus_field_"
 
 
 class UnreadableFile(ValueError):
@@ -35,44 +40,56 @@ def read_head(spark: SparkSession, path: str, size: int = HEAD_BYTES) -> bytes:
         stream.close()
 
 
+@dataclass(frozen=True)
+class Layout:
+    """How a file is written, as far as its head tells."""
+
+    encoding: str
+    sep: str
+    header: bool
+    multiline: bool
+
+
 def detect_encoding(head: bytes) -> str:
+    """UTF-8 where the head is valid so far, else Latin-1, which takes any byte."""
     if b"\x00" in head:
         raise UnreadableFile("the file holds NUL bytes and looks binary")
-    for name in ENCODINGS:
-        try:
-            head.decode(name)
-            return name
-        except UnicodeDecodeError as problem:
-            # A multi-byte character cut off by the end of the head is no error.
-            if name == "utf-8" and len(head) == HEAD_BYTES and problem.start >= len(head) - 3:
-                return name
-    return "utf-8"
-
-
-def detect_separator(text: str) -> str:
     try:
-        return csv.Sniffer().sniff(text, delimiters=SEPARATORS).delimiter
-    except csv.Error:
-        return ","
+        codecs.getincrementaldecoder("utf-8")().decode(head)
+    except UnicodeDecodeError:
+        return "latin-1"
+    return "utf-8"
 
 
-def detect_header(text: str, sep: str) -> bool:
-    """The standard sniffer decides; failing that, a first row of labels is a header."""
-    try:
-        if csv.Sniffer().has_header(text):
-            return True
-        first = next((line for line in text.splitlines() if line.strip()), None)
-        return first is None or all(map(_is_label, next(csv.reader([first], delimiter=sep))))
-    except csv.Error:
-        return True
+def inspect_head(head: bytes, sep: str | None = None, encoding: str | None = None) -> Layout:
+    """Parse the head once per separator; the one that cuts most lines alike wins."""
+    encoding = encoding or detect_encoding(head)
+    text = head.decode(encoding, errors="replace")
+    if len(head) == HEAD_BYTES and "\n" in text:
+        text = text[: text.rindex("\n") + 1]  # the last line may be cut off
+    best: tuple = (-1.0, 0, ",", [])
+    for candidate in [sep] if sep else SEPARATORS:
+        rows = [row for row in csv.reader(io.StringIO(text, newline=""), delimiter=candidate) if row]
+        width, alike = Counter(map(len, rows)).most_common(1)[0] if rows else (1, 0)
+        share = alike / len(rows) if rows and width > 1 else 0.0
+        if (share, width) > best[:2]:
+            best = (share, width, candidate, rows)
+    rows = best[3]
+    return Layout(
+        encoding,
+        best[2] if best[0] > 0 or sep else ",",
+        not rows or not any(map(_is_value, rows[0])),
+        any("\n" in cell or "\r" in cell for row in rows for cell in row),
+    )
 
 
-def _is_label(cell: str) -> bool:
+def _is_value(cell: str) -> bool:
+    """Whether a cell of the first line speaks against a header: empty or a number."""
     try:
-        float(cell)
+        float(cell or "0")
     except ValueError:
-        return bool(cell.strip())
-    return False
+        return not cell.strip()
+    return True
 
 
 def read_delimited(
@@ -82,28 +99,35 @@ def read_delimited(
     header: bool | None = None,
     encoding: str | None = None,
     max_rows: int | None = None,
+    multiline: bool | None = None,
 ) -> DataFrame:
-    """Read one CSV or TSV file; lines with surplus fields are skipped."""
+    """Read one CSV or TSV file with doubled quotes inside quoted fields.
+
+    Short lines are padded with NULL; lines with anything in the 16 fields beyond the
+    last column are skipped. Quoted line breaks are looked for in the head of the file
+    unless ``multiline`` is given; a file that has them is read by one task.
+    """
     suffix = path[path.rfind("."):].lower() if "." in path else ""
     if suffix not in EXTENSIONS:
         raise UnreadableFile(f"unsupported extension {suffix!r}, expected one of {EXTENSIONS}")
-    head = read_head(spark, path)
-    encoding = encoding or detect_encoding(head)
-    text = head.decode(encoding, errors="replace")
-    if sep is None:
-        sep = "\t" if suffix in (".tsv", ".tab") else detect_separator(text)
-    if header is None:
-        header = detect_header(text, sep)
-
+    if sep is None and suffix in (".tsv", ".tab"):
+        sep = "\t"
+    found = inspect_head(read_head(spark, path), sep, encoding)
+    header = found.header if header is None else header
     reader = spark.read.options(
-        sep=sep, header=header, encoding=SPARK_ENCODING.get(encoding, encoding)
+        sep=found.sep,
+        header=header,
+        encoding=SPARK_ENCODING.get(found.encoding, found.encoding),
+        escape='"',
+        multiLine=found.multiline if multiline is None else multiline,
     )
     # Field count and names come from the first line of the head, types from the file.
     inferred = reader.option("inferSchema", True).option("mode", "DROPMALFORMED").csv(path).schema
-    surplus = T.StructField(_EXTRA, T.StringType())
-    reader = reader.option("mode", "PERMISSIVE")  # short lines are padded with NULL
-    rows = reader.schema(T.StructType([*inferred.fields, surplus])).csv(path)
-    rows = rows.where(F.col(_EXTRA).isNull()).drop(_EXTRA)
+    surplus = [T.StructField(f"{_EXTRA}{i}", T.StringType()) for i in range(SURPLUS_FIELDS)]
+    reader = reader.option("mode", "PERMISSIVE").option("enforceSchema", True)
+    rows = reader.schema(T.StructType([*inferred.fields, *surplus])).csv(path)
+    names = [field.name for field in surplus]
+    rows = rows.where(F.coalesce(*names).isNull()).drop(*names)
     if not header:
         rows = rows.toDF(*[f"col_{i}" for i in range(len(inferred))])
     rows = clean_column_names(rows)

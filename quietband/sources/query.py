@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 # Statements that change data or rights.
-WRITE_WORDS = "INSERT UPDATE DELETE DROP ALTER CREATE TRUNCATE GRANT REVOKE".split()
+WRITE_WORDS = ("INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "CREATE", "TRUNCATE", "GRANT", "REVOKE")
 _WRITES = re.compile(rf"\b({'|'.join(WRITE_WORDS)})\b", re.IGNORECASE)
 _READS = re.compile(r"\s*(SELECT|WITH)\b", re.IGNORECASE)
 
@@ -33,13 +33,14 @@ def read_query(
 ) -> DataFrame:
     """Run a query in the database behind ``url``, or over registered views.
 
-    JDBC options such as ``partitionColumn`` (with ``dbtable``) may be passed
-    through; ``max_rows`` becomes a limit that Spark pushes down where it can.
+    JDBC options such as ``partitionColumn``, ``lowerBound``, ``upperBound`` and
+    ``numPartitions`` are passed through and split the read into tasks; ``max_rows``
+    becomes a limit that Spark pushes down where it can.
     """
     check_read_only(query)
     query = query.strip().rstrip(";")
     if url is None:
         rows = spark.sql(query)
     else:
-        rows = spark.read.format("jdbc").options(url=url, query=query, **jdbc_options).load()
+        rows = spark.read.format("jdbc").options(url=url, dbtable=f"({query}) q", **jdbc_options).load()
     return rows if max_rows is None else rows.limit(max_rows)

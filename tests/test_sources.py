@@ -38,6 +38,13 @@ def test_surplus_fields_are_skipped_and_short_lines_padded(spark, tmp_path):
     assert read_delimited(spark, path, max_rows=5).count() == 5
 
 
+def test_quotes_line_breaks_and_late_surplus_fields(spark, tmp_path):
+    path = tmp_path / "q.csv"
+    path.write_text('name,score,note\n"say ""hi"" 3",1.5,"two\nlines"\ny,100,ok,,tail\nz,2\n')
+    rows = sorted(map(tuple, read_delimited(spark, str(path)).collect()))
+    assert rows == [('say "hi" 3', 1.5, "two\nlines"), ("z", 2.0, None)]
+
+
 def test_encodings(spark, tmp_path):
     path = _write(tmp_path / "l.csv", extra=["1.0,2.0,café"], encoding="latin-1")
     assert read_delimited(spark, path).where("sensor_id = 'café'").count() == 1
