@@ -27,10 +27,12 @@ def partial_sums(
     slots: int,
     reduce_rows: Callable[[np.ndarray], np.ndarray],
     by: str | None = None,
+    known: dict[int, np.ndarray] | None = None,
 ) -> DataFrame:
     """``(grp, slot, value)`` with ``reduce_rows`` summed over all rows per group.
 
-    ``reduce_rows`` maps an (m, d) block to ``slots`` numbers that add up.
+    ``reduce_rows`` maps an (m, d) block to ``slots`` numbers that add up. With
+    ``known`` it also gets what is known about the block's group.
     """
     group = F.lit(0) if by is None else F.col(by)
     rows = df.select(group.cast("long").alias("grp"), F.col(vector).alias("vec"))
@@ -61,7 +63,8 @@ def partial_sums(
                         yield from emit(held)
                         held = {}
                     held[grp] = np.zeros(slots)
-                held[grp] += reduce_rows(matrix[groups == grp])
+                rows = matrix[groups == grp]
+                held[grp] += reduce_rows(rows) if known is None else reduce_rows(rows, known[int(grp)])
         yield from emit(held)
 
     return (

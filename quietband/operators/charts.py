@@ -9,25 +9,28 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quietband.functions import smallmath
+from quietband.functions.partials import partial_sums
 from quietband.functions.sampling import first_per_group, hash_order, quota_per_group
+from quietband.functions.vectors import to_matrix
 from quietband.operators import neighbors
-from quietband.operators.feature_graph import build_edges, equal_depth_cuts, width_of
+from quietband.operators.feature_graph import build_edges, width_of
 from quietband.operators.scoring import tangent_share
 from quietband.operators.spectral import Spectrum
 from quietband.session import check_broadcast, cut_lineage
 
 MAX_CHARTS = 20
 OVERLAP_NEIGHBORS = 10
-APPROX_FROM_ROWS = 10_000
 SAMPLE_POINTS = 1000
 SAMPLE_PAIRS = 500
 PROXY_PAIRS = 200
@@ -66,7 +69,7 @@ class Chart:
 
 
 @dataclass
-class Manifold:
+class Atlas:
     charts: list[Chart]
     members: DataFrame
     assignments: DataFrame
@@ -145,13 +148,10 @@ def split_region(points: DataFrame, id_col: str, column: str = "features", seed:
 
 
 def row_neighbors(
-    points: DataFrame, id_col: str, k: int = OVERLAP_NEIGHBORS, approximate=None
+    points: DataFrame, id_col: str, k: int = OVERLAP_NEIGHBORS, search: str = "exact"
 ) -> DataFrame:
-    """``(query, neighbor)`` over all points, inverted lists from 10 000 rows on."""
-    if approximate is None:
-        approximate = points.count() >= APPROX_FROM_ROWS
-    search = neighbors.knn_approx if approximate else neighbors.knn_exact
-    return search(points, k, id_col=id_col).select("query", "neighbor")
+    """``(query, neighbor)`` over all points."""
+    return neighbors.searcher(search)(points, k, id_col=id_col).select("query", "neighbor")
 
 
 def expand_region(
@@ -410,14 +410,13 @@ def tangent_variation(charts: list[np.ndarray]) -> float:
 class _AtlasBuilder:
     """Driver side of the atlas: which units to try next. Units are sets of rows."""
 
-    def __init__(self, points, id_col, spectrum, q, overlap, max_retries, approximate):
+    def __init__(self, points, id_col, spectrum, q, overlap, max_retries, search):
         self.points = points.select(F.col(id_col), "features")
         self.id_col, self.q = id_col, q
         self.overlap, self.max_retries = overlap, max_retries
         self.d = width_of(points, "features")
         self.reference = spectrum.basis.vectors
-        self.pairs = cut_lineage(row_neighbors(self.points, id_col, approximate=approximate))
-        self.cuts = equal_depth_cuts(self.points, "features", self.d)
+        self.pairs = cut_lineage(row_neighbors(self.points, id_col, search=search))
         self.charts: list[Chart] = []
         self.rejected: list[int] = []
 
@@ -446,6 +445,7 @@ class _AtlasBuilder:
             if not heads:
                 continue
             built = self._attempt(core, list(heads.values()))
+            failed: dict[int, int] = {}
             for region, unit in heads.items():
                 if built[unit] is not None:
                     done[region] = built[unit]
@@ -455,9 +455,12 @@ class _AtlasBuilder:
                     continue
                 retries[region] += 1
                 if sizes[unit] >= MIN_SPLIT_ROWS:
-                    core, halves = self._split(core, unit)
-                    sizes.update(halves)
-                    queues[region] += [u for u, n in halves.items() if n >= MIN_CHART_ROWS]
+                    failed[unit] = region
+            if failed:
+                core, halves = self._split(core, list(failed))
+                for unit, region in failed.items():
+                    sizes.update(halves[unit])
+                    queues[region] += [u for u, n in halves[unit].items() if n >= MIN_CHART_ROWS]
         for number, region in enumerate(sorted(done)):
             chart = done[region]
             self.charts.append(Chart(**{**chart.__dict__, "chart_id": number}))
@@ -467,7 +470,7 @@ class _AtlasBuilder:
         mine = core.where(F.col("unit").isin(units))
         members = expand_region(mine, self.pairs, self.id_col, self.overlap)
         located = cut_lineage(members.join(self.points, self.id_col))
-        edges = build_edges(located, "features", by="unit", cuts=self.cuts, d=self.d).select(
+        edges = build_edges(located, "features", by="unit", d=self.d).select(
             F.col("unit").cast("int").alias("unit"), "i", "j", "weight"
         )
         inside = located.where(F.col("role") == "core")
@@ -506,24 +509,52 @@ class _AtlasBuilder:
             list(row["selected"]), row["injectivity"], row["distortion"], score,
         )
 
-    def _split(self, core: DataFrame, unit: int):
-        rows = core.where(F.col("unit") == unit).join(self.points, self.id_col)
-        halves = split_region(rows, self.id_col)
-        first = self.next_unit
-        self.next_unit += 2
-        renamed = core.join(halves, self.id_col, "left").select(
-            self.id_col,
-            F.when(F.col("half").isNotNull(), F.col("half") + F.lit(first))
-            .otherwise(F.col("unit"))
-            .cast("int")
-            .alias("unit"),
-        )
-        renamed = cut_lineage(renamed)
-        counts = renamed.where(F.col("unit") >= first).groupBy("unit").count().collect()
-        return renamed, {r["unit"]: r["count"] for r in counts}
-
-
-def build_manifold(
+    def _split(self, core: DataFrame, units: list[int]):
+        """Halve all failed units of a round; the table of units is written once."""
+        parts, owner = [], {}
+        for unit in units:
+            rows = core.where(F.col("unit") == unit).join(self.points, self.id_col)
+            number = (F.col("half") + F.lit(self.next_unit)).cast("int")
+            parts.append(split_region(rows, self.id_col).select(self.id_col, number.alias("new")))
+            owner |= {self.next_unit: unit, self.next_unit + 1: unit}
+            self.next_unit += 2
+        halves = reduce(DataFrame.unionByName, parts)
+        renamed = core.join(halves, self.id_col, "left")
+        renamed = cut_lineage(renamed.select(self.id_col, F.coalesce("new", "unit").alias("unit")))
+        counts: dict[int, dict[int, int]] = {unit: {} for unit in units}
+        for r in renamed.where(F.col("unit").isin(list(owner))).groupBy("unit").count().collect():
+            counts[owner[r["unit"]]][r["unit"]] = r["count"]
+        return renamed, counts
+
+
+def nearest_chart(points: DataFrame, members: DataFrame, id_col: str, d: int) -> DataFrame:
+    """``(id, nearest)``: for points in no chart, the chart whose mean lies nearest."""
+
+    def sums(rows: np.ndarray) -> np.ndarray:
+        return np.append(rows.sum(axis=0), len(rows))
+
+    means: dict[int, np.ndarray] = {}
+    located = members.join(points.select(id_col, "features"), id_col)
+    for row in partial_sums(located, "features", d + 1, sums, "chart_id").collect():
+        means.setdefault(row["grp"], np.zeros(d + 1))[row["slot"]] = row["value"]
+    names = np.array(sorted(means))
+    check_broadcast(len(names), 8 * d, "the chart means")
+    centres = np.array([means[n][:d] / means[n][d] for n in names])
+
+    def place(batches):
+        for batch in batches:
+            if batch.num_rows:
+                rows = to_matrix(batch.column(1))
+                gap = (centres**2).sum(axis=1) - 2 * rows @ centres.T
+                found = pa.array(names[gap.argmin(axis=1)].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0), found], names=[id_col, "nearest"])
+
+    outside = points.select(id_col, "features").join(members.select(id_col), id_col, "left_anti")
+    kind = points.schema[id_col].dataType.simpleString()
+    return outside.mapInArrow(place, f"{id_col} {kind}, nearest int")
+
+
+def build_atlas(
     points: DataFrame,
     id_col: str,
     spectrum: Spectrum,
@@ -531,14 +562,21 @@ def build_manifold(
     n_charts="auto",
     overlap: float = 0.2,
     max_retries: int = 3,
-    approximate: bool | None = None,
+    search: str = "approx",
     regions: DataFrame | None = None,
-) -> Manifold:
-    """Charts over ``(id, features, coeffs)`` and the chart of every point."""
+    uncovered: str = "nearest",
+) -> Atlas:
+    """Charts over ``(id, features, coeffs)`` and the chart of every point.
+
+    Points of regions without a valid chart go to the chart with the nearest mean,
+    or with ``uncovered="chart0"`` to chart 0.
+    """
+    if uncovered not in ("nearest", "chart0"):
+        raise ValueError("uncovered must be 'nearest' or 'chart0'")
     if regions is None:
         regions = partition_regions(points, id_col, intrinsic_dim, n_charts)
     builder = _AtlasBuilder(
-        points, id_col, spectrum, intrinsic_dim, overlap, max_retries, approximate
+        points, id_col, spectrum, intrinsic_dim, overlap, max_retries, search
     )
     units = builder.run(regions)
     charts = builder.charts
@@ -547,7 +585,11 @@ def build_manifold(
     spark = points.sparkSession
     numbers = spark.createDataFrame([(c.unit, c.chart_id) for c in charts], "unit int, chart_id int")
     members = units.join(F.broadcast(numbers), "unit").select("chart_id", id_col)
-    manifold = Manifold(charts, members, None, None, builder.rejected)
-    manifold.assignments = primary_chart(points, members, manifold.charts_df(spark), id_col)
-    manifold.coverage = coverage(points, members, id_col)
-    return manifold
+    atlas = Atlas(charts, members, None, None, builder.rejected)
+    atlas.assignments = primary_chart(points, members, atlas.charts_df(spark), id_col)
+    if uncovered == "nearest":
+        nearest = nearest_chart(points, members, id_col, builder.d)
+        placed = atlas.assignments.join(nearest, id_col, "left")
+        atlas.assignments = placed.select(id_col, F.coalesce("nearest", "chart_id").alias("chart_id"))
+    atlas.coverage = coverage(points, members, id_col)
+    return atlas

@@ -54,26 +54,41 @@ def width_of(df: DataFrame, vector: str) -> int:
 
 
 def moments(df: DataFrame, vector: str, by: str | None = None, d: int | None = None) -> dict:
-    """Moments per group in one pass; only d x d numbers reach the driver."""
+    """Moments per group; only d x d numbers reach the driver.
+
+    Products are summed around each group's mean of a first pass, so that columns
+    far from zero keep the digits of their spread.
+    """
     d = d or width_of(df, vector)
     upper = np.triu_indices(d)
+    slots = d + len(upper[0])
 
-    def block(rows: np.ndarray) -> np.ndarray:
-        return np.concatenate([[len(rows)], rows.sum(axis=0), (rows.T @ rows)[upper]])
+    def sums(rows: np.ndarray) -> np.ndarray:
+        return np.append(rows.sum(axis=0), len(rows))
 
-    sums: dict[int, np.ndarray] = {}
-    for row in partial_sums(df, vector, 1 + d + len(upper[0]), block, by).collect():
-        sums.setdefault(row["grp"], np.zeros(1 + d + len(upper[0])))[row["slot"]] = row["value"]
+    def products(rows: np.ndarray, mean: np.ndarray) -> np.ndarray:
+        centred = rows - mean
+        return np.concatenate([centred.sum(axis=0), (centred.T @ centred)[upper]])
+
+    totals = _by_group(partial_sums(df, vector, d + 1, sums, by), d + 1)
+    means = {grp: total[:d] / total[d] for grp, total in totals.items()}
     result = {}
-    for grp, total in sorted(sums.items()):
-        n, mean = int(total[0]), total[1 : 1 + d] / total[0]
+    for grp, total in _by_group(partial_sums(df, vector, slots, products, by, means), slots, means).items():
+        n, rest = int(totals[grp][d]), total[:d] / totals[grp][d]
         gram = np.zeros((d, d))
-        gram[upper] = total[1 + d :]
+        gram[upper] = total[d:]
         gram = gram + gram.T - np.diag(np.diag(gram))
-        result[grp] = Moments(n, mean, gram / n - np.outer(mean, mean))
+        result[grp] = Moments(n, means[grp] + rest, gram / n - np.outer(rest, rest))
     return result
 
 
+def _by_group(sums: DataFrame, slots: int, groups=()) -> dict[int, np.ndarray]:
+    found: dict[int, np.ndarray] = {grp: np.zeros(slots) for grp in groups}
+    for row in sums.collect():
+        found.setdefault(row["grp"], np.zeros(slots))[row["slot"]] = row["value"]
+    return dict(sorted(found.items()))
+
+
 def _keys(by: str | None) -> list[str]:
     return [] if by is None else [by]
 
@@ -139,6 +154,14 @@ def equal_depth_cuts(df: DataFrame, vector: str, d: int, bins: int = MI_BINS) ->
     return np.array([found[str(j)] for j in range(d)], dtype=float)
 
 
+def group_cuts(df: DataFrame, vector: str, d: int, bins: int, by: str) -> dict[int, np.ndarray]:
+    """Cut points of equally filled bins per group, from one mergeable sketch per column."""
+    probs = [k / bins for k in range(1, bins)]
+    sketches = [F.percentile_approx(F.get(vector, F.lit(j)), probs, 10_000).alias(f"q{j}") for j in range(d)]
+    rows = df.groupBy(F.col(by).cast("long").alias("grp")).agg(*sketches).collect()
+    return {r["grp"]: np.array([r[f"q{j}"] for j in range(d)], float) for r in rows}
+
+
 def mutual_information_edges(
     df: DataFrame,
     vector: str = "features",
@@ -149,14 +172,20 @@ def mutual_information_edges(
 ) -> DataFrame:
     """Mutual information of every column pair on equally filled bins, scaled to 1.
 
-    Bins come from the whole table, also when the graphs are per group.
+    Without ``cuts`` every group has bins of its own, filled by its own rows.
     """
     d = d or width_of(df, vector)
-    cuts = equal_depth_cuts(df, vector, d, bins) if cuts is None else cuts
-    check_broadcast(d, 8 * bins, "the histogram cut points")
+    if cuts is not None:
+        known = None
+    elif by is None:
+        cuts, known = equal_depth_cuts(df, vector, d, bins), None
+    else:
+        known = group_cuts(df, vector, d, bins, by)
+    check_broadcast(d * (1 if known is None else len(known)), 8 * bins, "the histogram cut points")
 
-    def block(rows: np.ndarray) -> np.ndarray:
-        binned = np.column_stack([np.searchsorted(cuts[j], rows[:, j]) for j in range(d)])
+    def block(rows: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+        cuts_here = cuts if own is None else own
+        binned = np.column_stack([np.searchsorted(cuts_here[j], rows[:, j]) for j in range(d)])
         counts = np.zeros((d, d, bins * bins))
         for i in range(d - 1):
             joint = binned[:, [i]] * bins + binned[:, i + 1 :]
@@ -166,7 +195,7 @@ def mutual_information_edges(
         return counts.ravel()
 
     cell = bins * bins
-    joint = partial_sums(df, vector, d * d * cell, block, by).select(
+    joint = partial_sums(df, vector, d * d * cell, block, by, known).select(
         "grp",
         F.floor(F.col("slot") / (d * cell)).cast("int").alias("i"),
         (F.floor(F.col("slot") / cell) % d).cast("int").alias("j"),

@@ -464,6 +464,13 @@ def knn_approx(
     return _as_hits(_merge(found, k))
 
 
+def searcher(name: str):
+    """``"exact"`` or ``"approx"``: the same search whatever the size of the table."""
+    if name not in ("exact", "approx"):
+        raise ValueError(f"search must be 'exact' or 'approx', not {name!r}")
+    return knn_exact if name == "exact" else knn_approx
+
+
 def batch_knn(points: DataFrame, k: int, batch_size: int = BLOCK_ROWS, **options) -> DataFrame:
     """Exact search with the rows a task holds at once bounded by ``batch_size``."""
     return knn_exact(points, k, block_rows=batch_size, **options)

@@ -238,17 +238,17 @@ def tangent_variation_query(spark, sf_dir):
     return rounded(spark.createDataFrame([(value,)], "variation double"))
 
 
-def _manifold(spark, sf_dir):
+def _atlas(spark, sf_dir):
     basis = spectral.fit_basis(path_graph(spark), 3)
     points = cut_lineage(order_points(spark, sf_dir, PATH_COLS))
     spectrum = spectral.analyze_fourier(points, None, basis=basis)
     regions = charted_points(spark, sf_dir, PATH_COLS).select("id", (F.col("chart_id") - 1).alias("region"))
-    return charts.build_manifold(spectrum.coefficients, "id", spectrum, 2, regions=regions)
+    return charts.build_atlas(spectrum.coefficients, "id", spectrum, 2, regions=regions)
 
 
-@query("build_manifold")
-def build_manifold_query(spark, sf_dir):
-    found = _manifold(spark, sf_dir)
+@query("build_atlas")
+def build_atlas_query(spark, sf_dir):
+    found = _atlas(spark, sf_dir)
     return found.charts_df(spark).select(
         "chart_id", "alignment_score", "quality", "injectivity", "distortion", "score"
     )
@@ -319,6 +319,21 @@ def mad_threshold_query(spark, sf_dir):
     return rounded(spark.createDataFrame([(found["value"],)], "threshold double"))
 
 
+TIES_MAD_SQL = """WITH v AS (SELECT l_linenumber % 2 AS odd, l_discount AS discount FROM lineitem),
+m AS (SELECT median(odd) AS mo, median(discount) AS md FROM v)
+SELECT round(mo + 3 * 1.4826 * median(abs(odd - mo)), 6) + 0.0 AS odd,
+  round(md + 3 * 1.4826 * median(abs(discount - md)), 6) + 0.0 AS discount
+FROM v CROSS JOIN m GROUP BY mo, md"""
+
+
+@query("mad_threshold_ties", TIES_MAD_SQL)
+def mad_threshold_ties_query(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    columns = {"odd": F.col("l_linenumber") % 2, "discount": F.col("l_discount")}
+    found = scoring.mad_thresholds(lines, columns)
+    return rounded(spark.createDataFrame([(found["odd"], found["discount"])], "odd double, discount double"))
+
+
 @query("percentile_threshold", f"SELECT {r('quantile_cont(value, 0.99)')} AS threshold FROM events")
 def percentile_threshold_query(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("value")

@@ -19,7 +19,7 @@ def test_clean_table_has_few_flags_and_stages_are_written(wide, spark, tmp_path)
     summary = result.report.summary.first()
     assert summary["total_points"] == 200 and summary["anomaly_rate"] < 0.2
     assert result.summary["n_points"] == 200 and result.summary["coverage"] == 1.0
-    assert set(result.timing) == {"ingest", "structure", "fourier", "manifold", "anomaly", "reporting"}
+    assert set(result.timing) == {"ingest", "structure", "fourier", "atlas", "anomaly", "reporting"}
     read = lambda name: spark.read.parquet(str(tmp_path / name))
     for name in ("points", "coefficients", "assignments", "scores"):
         assert read(name).count() == 200

@@ -99,9 +99,9 @@ def test_regions_are_a_partition(plane):
     assert charts.chart_count(50) == 2 and charts.chart_count(10**7) == 20 and charts.chart_count(90_000) == 20
 
 
-def test_manifold_covers_a_plane(plane, spark):
+def test_atlas_covers_a_plane(plane, spark):
     _, spectrum = plane
-    found = charts.build_manifold(spectrum.coefficients, "id", spectrum, 4, n_charts=2)
+    found = charts.build_atlas(spectrum.coefficients, "id", spectrum, 4, n_charts=2)
     assert found.coverage.first()["coverage"] == 1.0 and not found.rejected
     assert found.assignments.count() == 240
     for chart in found.charts:
@@ -117,7 +117,7 @@ def test_failing_regions_are_split_and_given_up(plane, monkeypatch):
     regions = spectrum.coefficients.select("id", (F.col("id") % 2).cast("int").alias("region"))
     monkeypatch.setattr(charts, "INJECTIVITY_GATE", 0.999999)
     with pytest.raises(RuntimeError):
-        charts.build_manifold(spectrum.coefficients, "id", spectrum, 1, max_retries=1, regions=regions)
+        charts.build_atlas(spectrum.coefficients, "id", spectrum, 1, max_retries=1, regions=regions)
 
 
 def test_the_first_good_half_becomes_the_chart(plane, monkeypatch):
@@ -132,11 +132,17 @@ def test_the_first_good_half_becomes_the_chart(plane, monkeypatch):
     monkeypatch.setattr(charts._AtlasBuilder, "_accept", once)
     monkeypatch.setattr(charts, "INJECTIVITY_GATE", -1.0)
     regions = spectrum.coefficients.select("id", (F.col("id") % 2).cast("int").alias("region"))
-    found = charts.build_manifold(spectrum.coefficients, "id", spectrum, 2, regions=regions)
+    found = charts.build_atlas(spectrum.coefficients, "id", spectrum, 2, regions=regions)
     # One half may be too small for a chart of its own.
     assert attempts in ([0, 2, 1], [0, 3, 1]) and [c.unit for c in found.charts] == attempts[1:]
     covered = found.coverage.first()
     assert 120 < covered["covered"] < 240
-    # Rows that were dropped with the other half are scored by chart 0.
-    lost = found.assignments.join(found.members, "id", "left_anti")
-    assert lost.where("chart_id <> 0").count() == 0 and lost.count() == 240 - covered["covered"]
+    # Rows that were dropped with the other half go to the chart with the nearest mean.
+    lost = found.assignments.join(found.members, "id", "left_anti").toPandas()
+    rows = spectrum.coefficients.select("id", "features").toPandas().set_index("id").features
+    chart = found.members.toPandas().set_index("id").chart_id
+    means = {c: np.mean(np.stack(rows[chart.index[chart == c]]), axis=0) for c in set(chart)}
+    for r in lost.itertuples():
+        gaps = {c: np.linalg.norm(np.array(rows[r.id]) - m) for c, m in means.items()}
+        assert gaps[r.chart_id] == min(gaps.values())
+    assert len(lost) == 240 - covered["covered"]
