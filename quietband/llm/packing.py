@@ -64,8 +64,9 @@ def tokenized_pieces(
             for part in slices(batch, 1):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 rows: list[list] = [[] for _ in range(6)]
-                for i, found in enumerate(encoder.encode(texts)):
-                    ids = np.append(found, end_id).astype("<u4")
+                end = np.array([end_id], encoder.dtype).tobytes()
+                for i, found in enumerate(encoder.encode_raw(texts)):
+                    ids = np.frombuffer(found + end, encoder.dtype).astype("<u4")
                     at = 0
                     for length in cut_lengths(len(ids), capacity):
                         raw = ids[at : at + length].tobytes()

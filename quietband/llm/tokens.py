@@ -1,10 +1,11 @@
 """Token ids of whole texts, with every distinct word encoded once per worker.
 
 The pre-tokenizers of both vocabularies never let a token cross from a visible
-character to a following blank, so a text is the concatenation of its words.
-Words met before come from a table; all new ones of a slice are encoded with one
-call of the tokenizers library. Texts with other white space than blanks and line
-feeds go to the library as they are.
+character to a following blank, nor from a letter to a following full stop or
+comma, so a text is the concatenation of the units cut there. Units met before come
+from a table; the new ones of a slice are encoded with few calls of the tokenizers
+library. Plain words go to the same model without the steps that find words. Texts with other white space than blanks and line feeds go to the library
+as they are.
 """
 
 from __future__ import annotations
@@ -15,25 +16,35 @@ import re
 
 import numpy as np
 
-# Words a worker remembers; the table starts anew beyond that.
-MAX_WORDS = 400_000
-# Marks that end a word and are tokens of their own in both vocabularies.
-TAIL = ".,;:!?|"
+# Units a worker learns before its table becomes the old one, which is asked next and then dropped.
+MAX_WORDS = 200_000
 
 
 class WordEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         ids = lambda text: self.library.encode(text, add_special_tokens=False).ids
         self.drops_blanks = ids("a b") == ids("a") + ids("b")
+        self.lowers = ids("A") == ids("a")
         mark = "\x01" if self.drops_blanks else "\n"
         self.mark, self.mark_ids = (f" {mark} " if self.drops_blanks else mark), ids(mark)
         self.dtype = np.uint16 if self.library.get_vocab_size() < 1 << 16 else np.uint32
-        self.words: dict[str, bytes] = {"": b""}
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.bare_id = ids("\x01")
+        self.is_word = (_LOOSE_WORD if self.drops_blanks else _WORD).fullmatch
+        self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        tried = [" the", "qzx", " Übermaß", "éàÿ", "Ab"]
+        self._learn_words(tried)
+        if any(self.words.get(w) != np.array(ids(w), self.dtype).tobytes() for w in tried):
+            self.is_word = lambda word: None  # not a byte-level vocabulary
+            self.words = {}
 
     @staticmethod
     @functools.lru_cache(maxsize=4)
@@ -42,64 +53,101 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without special tokens."""
+        return [np.frombuffer(raw, self.dtype) for raw in self.encode_raw(texts)]
+
+    def encode_raw(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as the bytes of an array of ``dtype``."""
         if len(self.words) > MAX_WORDS:
-            self.words = {"": b""}
+            self.old, self.words = self.words, {}
         cut = [self._cut(text) for text in texts]
         self._learn(set().union(*[words for words in cut if words is not None]))
         known = self.words.__getitem__
         return [
-            np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+            np.array(self._batch([text])[0], dtype=self.dtype).tobytes()
             if words is None
-            else np.frombuffer(b"".join(map(known, words)), dtype=self.dtype)
+            else b"".join(map(known, words))
             for text, words in zip(texts, cut)
         ]
 
     def _cut(self, text: str) -> list[str] | None:
         if _OTHER_BLANKS(text):
             return None
-        if self.drops_blanks:
-            return text.replace("\n", " ").split(" ")
-        return _WORDS(text)
+        return _UNITS(text.lower() if self.lowers and _latin(text) else text)
 
     def _learn(self, words: set[str]) -> None:
-        new = words - self.words.keys()
-        split, bare = [], set()
-        for word in new:
-            core = word.rstrip(TAIL)
-            if core and core != word and core[-1].isalnum():
-                split.append((word, core, word[len(core) :]))
-                bare.update((core, word[len(core) :]))
-            else:
-                bare.add(word)
-        bare -= self.words.keys()
-        joined = [w for w in bare if self._joins(w)]
-        apart = [w for w in bare if not self._joins(w)]
+        known, old = self.words, self.old
+        new = [w for w in words if w not in known]
+        if old:
+            known.update((w, old[w]) for w in new if w in old)
+            new = [w for w in new if w not in known]
+        plain = [w for w in new if self.is_word(w)]
+        ascii_words = [w for w in plain if w.isascii()]
+        self._learn_words(ascii_words)
+        if len(ascii_words) < len(plain):
+            self._learn_words([w for w in plain if not w.isascii()])
+        rest = [w for w in new if w not in known]
+        if self.drops_blanks:
+            joined = [w for w in rest if "\x01" not in w]
+        else:
+            joined = [w for w in rest if "\n" not in w and w[:2] != "  " and w != " "]
         if joined:
             text = self.mark + self.mark.join(joined)
-            ids = np.array(self._batch([text])[0], dtype=self.dtype)
-            cuts = np.flatnonzero(ids == self.mark_ids[0]) if len(self.mark_ids) == 1 else ids[:0]
-            if len(cuts) == len(joined):
-                raw, width = ids.tobytes(), ids.itemsize
-                ends = (cuts[1:] * width).tolist() + [len(raw)]
-                for word, start, end in zip(joined, ((cuts + 1) * width).tolist(), ends):
-                    self.words[word] = raw[start:end]
-            else:
-                apart += joined
+            self._put(joined, self._batch([text])[0], self.mark_ids)
+        apart = [w for w in rest if w not in known]
         for word, ids in zip(apart, self._batch(apart)):
-            self.words[word] = np.array(ids, dtype=self.dtype).tobytes()
-        for word, core, tail in split:
-            self.words[word] = self.words[core] + self.words[tail]
+            known[word] = np.array(ids, dtype=self.dtype).tobytes()
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Encode words of Latin letters, written in the alphabet that stands for their bytes."""
+        if not words:
+            return
+        blank = "" if self.drops_blanks else _ALPHABET[32]
+        text = "\x01\n" + "\n\x01\n".join(words)
+        text = text.replace(" ", blank).replace("\x01", _ALPHABET[1])
+        if self.lowers:
+            text = text.lower()
+        if not all(map(str.isascii, words)):
+            text = text.translate(_AS_BYTES)
+        self._put(words, self._batch([text], self.bare)[0], self.bare_id)
+
+    def _put(self, words: list[str], found: list[int], mark: list[int]) -> None:
+        """Cut ids at the marks before each word; nothing is learned if the marks do not show."""
+        ids = np.array(found, dtype=self.dtype)
+        cuts = np.flatnonzero(ids == mark[0]) if len(mark) == 1 else ids[:0]
+        if len(cuts) == len(words):
+            raw, width = ids.tobytes(), ids.itemsize
+            spans = map(slice, ((cuts + 1) * width).tolist(), (cuts[1:] * width).tolist() + [len(raw)])
+            self.words.update(zip(words, map(raw.__getitem__, spans)))
+
+    def _batch(self, texts: list[str], library=None) -> list[list[int]]:
+        found = (library or self.library).encode_batch_fast(texts, add_special_tokens=False)
+        return [x.ids for x in found]
 
-    def _joins(self, word: str) -> bool:
-        """Whether the word keeps its ids between two marks."""
-        if self.drops_blanks:
-            return "\x01" not in word
-        return word[0] not in " \n" or (word[0] == " " and len(word) > 1 and word[1] not in " \n")
 
-    def _batch(self, texts: list[str]) -> list[list[int]]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [x.ids for x in found]
+def _byte_alphabet() -> list[str]:
+    """Signs for the 256 bytes in byte-level vocabularies: printable ones stand for themselves,
+    the others follow from code point 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
+
+
+_ALPHABET = _byte_alphabet()
+# Latin letters beyond ASCII as the signs of their bytes.
+_AS_BYTES = {c: "".join(_ALPHABET[b] for b in chr(c).encode()) for c in range(192, 256)}
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
+_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_LOOSE_WORD = re.compile(r"[ \n]*[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _OTHER_BLANKS = re.compile(r"[^\S \n]").search
-_WORDS = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
+_UNITS = re.compile(
+    r"[ \n]*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ \n.,])|[.,]+(?=[ \n])|[ \n]*[^ \n]+|[ \n]+"
+).findall
