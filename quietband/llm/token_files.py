@@ -37,12 +37,14 @@ MIN_RANGES = 48
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 
 
-def encode(values: np.ndarray) -> tuple[bytes, bytes]:
-    """Control and data bytes of unsigned 32-bit values."""
+def encode(values: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Control and data bytes of unsigned 32-bit values, ``counts`` of them per document."""
     values = values.astype("<u4")
     size = (values >= 1 << 8).astype(np.uint8) + (values >= 1 << 16) + (values >= 1 << 24)
-    padded = np.zeros(-(-len(values) // 4) * 4, np.uint8)
-    padded[: len(values)] = size
+    blocks = -(-counts // 4)
+    gaps = np.cumsum(blocks * 4 - counts) - (blocks * 4 - counts)  # unused places before each document
+    padded = np.zeros(int(blocks.sum()) * 4, np.uint8)
+    padded[np.arange(len(values)) + np.repeat(gaps, counts)] = size
     control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
     used = np.arange(4) <= size[:, None]
     return control.tobytes(), values.view(np.uint8).reshape(-1, 4)[used].tobytes()
@@ -106,16 +108,16 @@ def _tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for part in slices(batch, 1):
-                found = encoder.encode([t or "" for t in part.column(1).to_pylist()])
-                raws = [np.append(ids, end_id).astype("<u4") for ids in found]
-                crc = np.array([zlib.crc32(r.tobytes()) for r in raws], np.int64)
+                end = np.array([end_id], encoder.dtype).tobytes()
+                raws = [raw + end for raw in encoder.encode_raw([t or "" for t in part.column(1).to_pylist()])]
+                crc = np.array([zlib.crc32(raw) for raw in raws], np.int64)
                 ids = pa.compute.fill_null(part.column(0), np.iinfo(np.int64).min).to_numpy()
                 low, high = np.searchsorted(bounds, ids), np.searchsorted(bounds, ids, "right")
                 columns = [
                     pa.array(low + crc % (high - low + 1)),
                     part.column(0),
                     pa.array(crc),
-                    pa.array([pack(r.astype(encoder.dtype).tobytes()) for r in raws], pa.binary()),
+                    pa.array(list(map(pack, raws)), pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["range", "id", "crc", "ids"])
 
@@ -133,8 +135,8 @@ def _keep_ranges(folder_uri: str, vocabulary: int, width: int):
         unpack = zstandard.ZstdDecompressor().decompress
 
         def close(name: int, docs: list) -> None:
-            for _, raw in docs:
-                counts[:] += np.bincount(np.frombuffer(unpack(raw), f"<u{width}"), minlength=vocabulary)
+            plain = b"".join(unpack(raw) for _, raw in docs)
+            counts[:] += np.bincount(np.frombuffer(plain, f"<u{width}"), minlength=vocabulary)
             ids = np.array([i or 0 for i, _ in docs], "<i8")
             null = np.array([i is None for i, _ in docs], np.uint8)
             sizes = np.array([len(raw) for _, raw in docs], "<u8")
@@ -185,17 +187,12 @@ def _write_ranges(folder_uri: str, rank_of, width: int):
         ids = np.frombuffer(raw, "<i8", count, 8)
         null = np.frombuffer(raw, np.uint8, count, 8 + 8 * count)
         sizes = np.frombuffer(raw[8 + 9 * count : 8 + 17 * count], "<u8").astype(np.int64)
-        at, lengths, controls, data = 8 + 17 * count, [], [], []
-        for size in sizes.tolist():
-            found = np.frombuffer(unpack(raw[at : at + size]), f"<u{width}")
-            control, rest = encode(rank_of.value[found])
-            lengths.append(len(found))
-            controls.append(control)
-            data.append(rest)
-            at += size
-        control, rest = b"".join(controls), b"".join(data)
-        head = np.array([MAGIC, count, sum(lengths), len(control), len(rest)], "<u8")
-        return _bytes_of([head, ids, np.array(lengths, "<u8"), null]) + control + rest
+        ends = 8 + 17 * count + np.cumsum(sizes)
+        plain = [unpack(raw[a:b]) for a, b in zip((ends - sizes).tolist(), ends.tolist())]
+        lengths = np.array([len(p) // width for p in plain], np.int64)
+        control, rest = encode(rank_of.value[np.frombuffer(b"".join(plain), f"<u{width}")], lengths)
+        head = np.array([MAGIC, count, int(lengths.sum()), len(control), len(rest)], "<u8")
+        return _bytes_of([head, ids, lengths.astype("<u8"), null]) + control + rest
 
     return write
 

@@ -84,9 +84,9 @@ def test_nothing_to_pack(spark):
 @given(st.lists(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=9), min_size=1, max_size=6))
 @settings(max_examples=200, deadline=None)
 def test_coding_round_trip(lists):
-    coded = [encode(np.array(values, np.uint32)) for values in lists]
-    control, data = (np.frombuffer(b"".join(c[k] for c in coded), np.uint8) for k in (0, 1))
     counts = np.array([len(values) for values in lists])
+    coded = encode(np.array([v for values in lists for v in values], np.uint32), counts)
+    control, data = (np.frombuffer(raw, np.uint8) for raw in coded)
     assert decode(control, data, counts).tolist() == [v for values in lists for v in values]
 
 
