@@ -18,6 +18,9 @@ from quietband.llm.packing import harmonic_pack, tokenized_pieces
 from quietband.llm.pii import SpanModel, redact
 from quietband.llm.toxicity import ToxicityModel
 
+# Bits of the map of documents that may have to go: 8 MB at most, whatever the corpus.
+MARK_BITS = 1 << 26
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below the threshold."""
@@ -32,11 +35,28 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     groups = store(jaccard_components(docs.select("doc_id", "text")), "groups")
     gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
     ids = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count()
     repeated = ids.where(F.col("count") > 1).select("doc_id")
-    once = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    return once.unionByName(kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    marked = gone.withColumn("again", F.lit(False)).unionByName(repeated.withColumn("again", F.lit(True)))
+    marked = store(marked.withColumnRenamed("doc_id", "marked"), "marked")
+
+    # A bit map of fixed size lets all texts that stay pass without a shuffle.
+    names = [f"k{i}" for i in range(len(docs.columns))]
+    held_id = names[docs.columns.index("doc_id")]
+    bit = lambda column: F.pmod(F.xxhash64(column), F.lit(MARK_BITS))
+    flag = lambda column: F.call_function("shiftleft", F.lit(1).cast("long"), (bit(column) % 64).cast("int"))
+    words = marked.groupBy(F.shiftright(bit("marked"), 6).alias("word")).agg(F.bit_or(flag("marked")).alias("bits"))
+    looked = (
+        docs.toDF(*names)
+        .withColumn("word", F.shiftright(bit(held_id), 6))
+        .join(F.broadcast(words), "word", "left")
+        .withColumn("suspect", F.coalesce("bits", F.lit(0)).bitwiseAND(flag(held_id)) != 0)
+    )
+    clear = looked.where(~F.col("suspect")).select(*names)
+    rest = looked.where("suspect").join(marked, F.col(held_id) == F.col("marked"), "left")
+    single = rest.where("marked is null").select(*names)
+    again = rest.where("again").select(*names).dropDuplicates([held_id])
+    return clear.unionByName(single).unionByName(again).toDF(*docs.columns)
 
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
