@@ -275,7 +275,7 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     turn = np.argsort(grams, kind="stable")
     grams, owner = grams[turn], owner[turn]
-    new = np.append(True, grams[1:] != grams[:-1])
+    new = np.append(True, grams[1:] != grams[:-1])[: len(grams)]  # no grams, no runs
     run = np.cumsum(new) - 1
     shared = np.bincount(run) > 1
     kept = shared[run]

@@ -70,6 +70,22 @@ def test_jaccard_components(spark, texts, monkeypatch, tile, frequent):
     assert len(found) == len(texts)
 
 
+def test_texts_of_frequent_shingles_only(spark):
+    """A passage of many long texts that also stands alone, whole and without its last words."""
+    passage = [f"p{i}" for i in range(40)]
+    rows = [" ".join([f"w{d}x{i}" for i in range(200)] + passage) for d in range(30)]
+    rows += [" ".join(passage), " ".join(passage[:-3])]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").coalesce(1)
+    found = {r["doc_id"]: r["component_id"] for r in jaccard_components(docs).collect()}
+    assert found == {**{d: d for d in range(31)}, 31: 30}
+
+
+def test_overlaps_of_empty_sets():
+    none = np.zeros(0, np.uint64)
+    assert jaccard_join.overlaps([none, none]).tolist() == [[0, 0], [0, 0]]
+    assert jaccard_join.overlaps([none, np.arange(3, dtype=np.uint64)]).tolist() == [[0, 0], [0, 0]]
+
+
 def test_jaccard_without_texts(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_components(none).count() == 0
