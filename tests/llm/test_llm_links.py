@@ -144,6 +144,34 @@ def test_exact_search_with_factor_one(spark, monkeypatch, leaf):
     assert {r["query_id"] for r in found} == {i for i in good if i % 20 == 0}
 
 
+@pytest.mark.parametrize("factor", [1.0, vp_tree.FACTOR])
+def test_many_copies_of_one_vector_go_by_id(spark, factor):
+    rng = np.random.default_rng(8)
+    points = rng.normal(size=(1300, 8))
+    points[rng.permutation(1300)[:1000]] = np.full(8, 3.0)
+    rows = [(i, [float(x) for x in p]) for i, p in enumerate(points)]
+    rows += [(1300, rows[0][1])] * 3  # an id may repeat
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    found = nearest(table, table.vec_id % 100 == 0, k=20, factor=factor).collect()
+    for q in range(0, 1301, 100):
+        score = [(-float((np.array(v) * np.array(rows[q][1])).sum()), i) for i, v in rows if i != q]
+        mine = sorted((r for r in found if r["query_id"] == q), key=lambda r: r["rank"])
+        truth = [i for _, i in sorted(score)[:20]]
+        near = sum(x == y for x, y in zip(truth, [r["vec_id"] for r in mine])) / 20
+        same = np.ptp([s for s, _ in sorted(score)[:20]]) == 0  # all of them copies
+        assert near == 1 if factor == 1 or same else len(mine) == 20
+
+
+def test_ties_of_distinct_vectors_go_to_smaller_ids():
+    rng = np.random.default_rng(9)
+    points = np.unique([rng.permutation(8) + 1.0 for _ in range(3000)], axis=0)
+    points = points[rng.permutation(len(points))]
+    tree = vp_tree.VantageTree(points)
+    rows, best = tree.search(np.ones((3, 8)), np.array([0, 5, -1]), 20, 1.0)
+    assert (best == 36).all()
+    assert rows.tolist() == [[*range(1, 21)], [i for i in range(21) if i != 5], [*range(20)]]
+
+
 def test_search_with_few_candidates(spark):
     table = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 1.0]), (None, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in nearest(table, table.vec_id % 20 == 0).collect()] == [(0, 1, 1, 0.5)]
