@@ -5,6 +5,7 @@ from __future__ import annotations
 import codecs
 import csv
 import io
+import re
 from collections import Counter
 from dataclasses import dataclass
 
@@ -40,6 +41,20 @@ def read_head(spark: SparkSession, path: str, size: int = HEAD_BYTES) -> bytes:
         stream.close()
 
 
+def has_quoted_breaks(spark: SparkSession, path: str, layout: Layout) -> bool:
+    """Whether any quoted field of the file goes on in the next line, found in one scan of its lines.
+
+    The first record that spans lines starts a line, so its first line, taken apart on its
+    own, ends within quotes; where no line does, no record spans lines.
+    """
+    if '"\n'.encode(layout.encoding) != b'"\n':
+        return True  # quote signs do not show in the bytes: let the parser find them
+    start = f"(^|{re.escape(layout.sep)})\""
+    value = F.regexp_replace("value", '""', "")  # doubled quotes and empty fields
+    value = F.regexp_replace(value, f'{start}[^"]*"', "$1")
+    return not spark.read.text(path).where(value.rlike(start)).isEmpty()
+
+
 @dataclass(frozen=True)
 class Layout:
     """How a file is written, as far as its head tells."""
@@ -104,8 +119,8 @@ def read_delimited(
     """Read one CSV or TSV file with doubled quotes inside quoted fields.
 
     Short lines are padded with NULL; lines with anything in the 16 fields beyond the
-    last column are skipped. Quoted line breaks are looked for in the head of the file
-    unless ``multiline`` is given; a file that has them is read by one task.
+    last column are skipped. Quoted line breaks are looked for in the whole file unless
+    ``multiline`` is given; a file that has them is read by one task.
     """
     suffix = path[path.rfind("."):].lower() if "." in path else ""
     if suffix not in EXTENSIONS:
@@ -114,12 +129,14 @@ def read_delimited(
         sep = "\t"
     found = inspect_head(read_head(spark, path), sep, encoding)
     header = found.header if header is None else header
+    if multiline is None:
+        multiline = found.multiline or has_quoted_breaks(spark, path, found)
     reader = spark.read.options(
         sep=found.sep,
         header=header,
         encoding=SPARK_ENCODING.get(found.encoding, found.encoding),
         escape='"',
-        multiLine=found.multiline if multiline is None else multiline,
+        multiLine=multiline,
     )
     # Field count and names come from the first line of the head, types from the file.
     inferred = reader.option("inferSchema", True).option("mode", "DROPMALFORMED").csv(path).schema

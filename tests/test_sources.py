@@ -2,7 +2,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from quietband.sources.dataset import numeric_matrix, read_dataset, write_dataset
-from quietband.sources.delimited import UnreadableFile, detect_encoding, read_delimited, read_tsv
+from quietband.sources.delimited import (
+    HEAD_BYTES,
+    Layout,
+    UnreadableFile,
+    detect_encoding,
+    has_quoted_breaks,
+    inspect_head,
+    read_delimited,
+    read_tsv,
+)
 from quietband.sources.names import cleaned_names
 from quietband.sources.query import QueryRejected, check_read_only, read_query
 
@@ -45,6 +54,31 @@ def test_quotes_line_breaks_and_late_surplus_fields(spark, tmp_path):
     assert rows == [('say "hi" 3', 1.5, "two\nlines"), ("z", 2.0, None)]
 
 
+@pytest.mark.parametrize("sep", [",", "|"])
+def test_quoted_line_breaks_beyond_the_head(spark, tmp_path, sep):
+    path = tmp_path / "late.csv"
+    lines = [sep.join(["name", "score", "note"])]
+    lines += [sep.join([f"n{i}", str(i), '"say ""hi"" now"']) for i in range(2000)]
+    plain = "\n".join(lines) + "\n"
+    path.write_text(plain)
+    assert not has_quoted_breaks(spark, str(path), inspect_head(plain.encode()[:HEAD_BYTES]))
+    # The first line of the last record has an even number of quote signs.
+    path.write_text(plain + sep.join(['5" pipe', "7", '"two\nlines"']) + "\n")
+    rows = read_delimited(spark, str(path)).collect()
+    assert len(rows) == 2001
+    assert [tuple(r) for r in rows if r["score"] == 7 and r["name"] != "n7"] == [('5" pipe', 7, "two\nlines")]
+
+
+@pytest.mark.parametrize(
+    "line, spans",
+    [('a,"b', True), ('"a"",', True), ('"a""",b', False), ('"",""', False), ('5",b', False), ('"""a', True), ('a,""""', False), ('"a,b","c', True)],
+)
+def test_lines_that_end_within_quotes(spark, tmp_path, line, spans):
+    (tmp_path / "x.csv").write_text(line + "\n")
+    layout = Layout("utf-8", ",", False, False)
+    assert has_quoted_breaks(spark, str(tmp_path / "x.csv"), layout) == spans
+
+
 def test_encodings(spark, tmp_path):
     path = _write(tmp_path / "l.csv", extra=["1.0,2.0,café"], encoding="latin-1")
     assert read_delimited(spark, path).where("sensor_id = 'café'").count() == 1
