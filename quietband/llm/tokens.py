@@ -4,8 +4,8 @@ The pre-tokenizers of both vocabularies never let a token cross from a visible
 character to a following blank, nor from a letter to a following full stop or
 comma, so a text is the concatenation of the units cut there. Units met before come
 from a table; the new ones of a slice are encoded with few calls of the tokenizers
-library. Plain words go to the same model without the steps that find words. Texts with other white space than blanks and line feeds go to the library
-as they are.
+library. Plain words go to the same model without the steps that find words. Texts with other white space than blanks and line feeds, or with the
+string of an added token, which the library turns into that token, go to the library as they are.
 """
 
 from __future__ import annotations
@@ -26,7 +26,10 @@ class WordEncoder:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        added = self.library.get_added_tokens_decoder().values()
+        self.added = [token.content for token in added]
+        if self.library.normalizer and any(token.normalized for token in added):
+            self.added = [""]  # looked for in normalized text: every text goes as it is
         ids = lambda text: self.library.encode(text, add_special_tokens=False).ids
         self.drops_blanks = ids("a b") == ids("a") + ids("b")
         self.lowers = ids("A") == ids("a")
@@ -52,7 +55,7 @@ class WordEncoder:
         return WordEncoder(path)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, without special tokens."""
+        """Ids of each text as the library gives them, without special tokens at its ends."""
         return [np.frombuffer(raw, self.dtype) for raw in self.encode_raw(texts)]
 
     def encode_raw(self, texts: list[str]) -> list[bytes]:
@@ -70,9 +73,11 @@ class WordEncoder:
         ]
 
     def _cut(self, text: str) -> list[str] | None:
-        if _OTHER_BLANKS(text):
+        lowered = text.lower() if self.lowers and _latin(text) else text
+        # Lowering may make such a string, which the library sees only where it stands in the text.
+        if _OTHER_BLANKS(text) or any(token in text or token in lowered for token in self.added):
             return None
-        return _UNITS(text.lower() if self.lowers and _latin(text) else text)
+        return _UNITS(lowered)
 
     def _learn(self, words: set[str]) -> None:
         known, old = self.words, self.old

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from quietband.llm import packing
 from quietband.llm.catalog import BYTE_TOKENIZER, WORD_TOKENIZER
@@ -30,6 +31,20 @@ def test_encoder_gives_the_ids_of_the_library(path):
         assert found.tolist() == ids_of(path, text)
 
 
+@pytest.mark.parametrize("path", [WORD_TOKENIZER, BYTE_TOKENIZER])
+def test_strings_of_added_tokens_become_those_tokens(spark, path):
+    fresh = Tokenizer.from_file(path)
+    texts = ["<|endoftext|>", "one <|endoftext|> two", "one<|endoftext|>two.<|startoftext|> x", "a  <|endoftext|>\n\nb, <|endoftext|>"]
+    texts += ["<|ENDOFTEXT|> <|endoftext |> <|endof", "plain words only", "tab\t<|endoftext|>"]
+    plain = [fresh.encode(text, add_special_tokens=False).ids for text in texts]
+    assert plain[0] == [fresh.token_to_id("<|endoftext|>")]
+    assert [ids.tolist() for ids in WordEncoder.of(path).encode(texts)] == plain
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = token_files(spark, docs, path, 0).toPandas().sort_values("doc_id")
+    assert found.ids_crc32.tolist() == [zlib.crc32(np.array(ids + [0], "<u4").tobytes()) for ids in plain]
+    assert found.start.tolist() == [0, *np.cumsum([len(ids) + 1 for ids in plain])[:-1]]
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     words = "alpha beta gamma delta eps.".split()
