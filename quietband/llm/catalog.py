@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quietband.llm.common import table
 from quietband.llm.divergence import source_divergence
 from quietband.llm.jaccard_join import jaccard_components
+from quietband.llm.lm_scoring import score_texts
 from quietband.llm.mixing import mix_sources
 from quietband.llm.near_vectors import near_vectors
 from quietband.llm.packing import harmonic_pack, tokenized_pieces
@@ -78,6 +79,10 @@ def op10_pii_labelers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report_pii(table(spark, sf_dir, "documents"))
 
 
+def op11_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 
@@ -97,6 +102,7 @@ QUERIES = {
     "op8_toxicity_grammar": op8_toxicity_grammar,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_pii_labelers": op10_pii_labelers,
+    "op11_attention_scores": op11_attention_scores,
     "op12_source_divergence": op12_source_divergence,
     "op13_whitening": op13_whitening,
 }
