@@ -23,44 +23,46 @@ MARK_BITS = 1 << 26
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score stays below the threshold."""
+    """Documents whose toxicity score stays below the threshold.
+
+    NULL and empty texts are scored like others; repeated rows share their fate. An empty
+    table stays empty.
+    """
     model = ToxicityModel.fit(docs, table(spark, sf_dir, "labels"))
     return model.keep_below(docs, TOXIC_FROM)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked documents.
+    """The first row of each group of rows with linked texts.
 
-    Of rows that repeat an id one stays; documents without an id stay.
+    Rows are numbered and decided one by one, so ids may repeat or be NULL; rows whose
+    text is NULL, empty or without words always stay. An empty table stays empty.
     """
-    groups = store(jaccard_components(docs.select("doc_id", "text")), "groups")
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    ids = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count()
-    repeated = ids.where(F.col("count") > 1).select("doc_id")
-    marked = gone.withColumn("again", F.lit(False)).unionByName(repeated.withColumn("again", F.lit(True)))
-    marked = store(marked.withColumnRenamed("doc_id", "marked"), "marked")
+    names = [f"k{i}" for i in range(len(docs.columns))]  # columns may have any name
+    text = names[docs.columns.index("text")]
+    rows = store(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    groups = jaccard_components(rows.select("row", F.col(text).alias("text")), id_col="row")
+    gone = store(groups.where(F.col("row") != F.col("component_id")).select("row"), "gone")
 
     # A bit map of fixed size lets all texts that stay pass without a shuffle.
-    names = [f"k{i}" for i in range(len(docs.columns))]
-    held_id = names[docs.columns.index("doc_id")]
-    bit = lambda column: F.pmod(F.xxhash64(column), F.lit(MARK_BITS))
-    flag = lambda column: F.call_function("shiftleft", F.lit(1).cast("long"), (bit(column) % 64).cast("int"))
-    words = marked.groupBy(F.shiftright(bit("marked"), 6).alias("word")).agg(F.bit_or(flag("marked")).alias("bits"))
+    bit = lambda: F.pmod(F.xxhash64("row"), F.lit(MARK_BITS))
+    flag = lambda: F.call_function("shiftleft", F.lit(1).cast("long"), (bit() % 64).cast("int"))
+    words = gone.groupBy(F.shiftright(bit(), 6).alias("word")).agg(F.bit_or(flag()).alias("bits"))
     looked = (
-        docs.toDF(*names)
-        .withColumn("word", F.shiftright(bit(held_id), 6))
+        rows.withColumn("word", F.shiftright(bit(), 6))
         .join(F.broadcast(words), "word", "left")
-        .withColumn("suspect", F.coalesce("bits", F.lit(0)).bitwiseAND(flag(held_id)) != 0)
+        .withColumn("suspect", F.coalesce("bits", F.lit(0)).bitwiseAND(flag()) != 0)
     )
     clear = looked.where(~F.col("suspect")).select(*names)
-    rest = looked.where("suspect").join(marked, F.col(held_id) == F.col("marked"), "left")
-    single = rest.where("marked is null").select(*names)
-    again = rest.where("again").select(*names).dropDuplicates([held_id])
-    return clear.unionByName(single).unionByName(again).toDF(*docs.columns)
+    stays = looked.where("suspect").join(gone, "row", "left_anti").select(*names)
+    return clear.unionByName(stays).toDF(*docs.columns)
 
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data replaced by its kind; ``n_chars`` follows the new text."""
+    """Texts with personal data replaced by its kind; ``n_chars`` follows the new text.
+
+    NULL texts and their ``n_chars`` stay as they are, and so does an empty table.
+    """
     masked = redact(docs, SpanModel.fit(docs))
     if "n_chars" not in docs.columns:
         return masked
@@ -69,12 +71,19 @@ def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the source mix takes them."""
+    """Documents as often as the source mix takes them.
+
+    NULL sources are a source of their own, documents without words are not taken;
+    repeated rows are taken one by one. An empty table stays empty.
+    """
     return mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences, with where each piece lies."""
+    """Pieces of token sequences, with where each piece lies.
+
+    NULL and empty texts hold the end token alone; an empty table gives no pieces.
+    """
     return harmonic_pack(tokenized_pieces(docs, WORD_TOKENIZER, PACK_END_ID))
 
 
