@@ -16,6 +16,7 @@ answer with deep recursion or quadratic time on very long runs.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -35,6 +36,40 @@ SECRET = r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}+"
 GAZETTEER = ["token", "key", "secret", "password", "passwd", "auth", "bearer", "credential"]
 CONTEXT = 24
 ROUNDS = 50
+# Spans whose places are summed one by one, and code points of a text cut off as a string of their own.
+BLOCK = 64
+CHUNK = 1024
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _running(
+    values: Column, combine: Callable[[Column, Column], Column], body: Callable[[Callable[[Column], Column]], Column]
+) -> Column:
+    """``body(before)``, where ``before(i)`` combines 0 and the first ``i`` of the integers ``values``.
+
+    Totals of blocks are kept, so that a place looks at one block and not at all before it.
+    """
+    zero = F.lit(0)
+    over = lambda part: F.aggregate(part, zero, combine)
+
+    def with_totals(values: Column) -> Column:
+        count = F.ceil(F.size(values) / BLOCK).cast("int")
+        each = F.transform(F.sequence(zero, count), lambda b: over(F.slice(values, b * BLOCK + 1, F.lit(BLOCK))))
+        return _let(each, lambda each: _let(
+            F.transform(F.sequence(zero, count), lambda b: over(F.slice(each, F.lit(1), b))),
+            lambda totals: body(
+                lambda i: combine(
+                    F.get(totals, F.floor(i / BLOCK).cast("int")),
+                    over(F.slice(values, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK)),
+                )
+            ),
+        ))
+
+    return _let(values, with_totals)
 
 
 def _spans(text: Column, pattern: str, kind: str, maybe: Column, source: Column | None = None) -> Column:
@@ -44,22 +79,25 @@ def _spans(text: Column, pattern: str, kind: str, maybe: Column, source: Column
     gaps = F.split(source, pattern, -1)
     empty = F.array().cast("array<struct<kind:string,start:int,end:int,value:string,before:string>>")
 
-    def step(held: Column, pair: Column) -> Column:
-        start = held["at"] + F.length(pair["gaps"])
-        end = start + F.length(pair["hits"])
-        span = F.struct(
-            F.lit(kind).alias("kind"),
-            start.alias("start"),
-            end.alias("end"),
-            pair["hits"].alias("value"),
-            F.right(pair["gaps"], F.lit(CONTEXT)).alias("before"),
-        )
-        found = F.when(pair["hits"].isNull(), held["found"]).otherwise(F.concat(held["found"], F.array(span)))
-        return F.struct(end.alias("at"), found.alias("found"))
+    def placed(pairs: Column) -> Column:
+        sizes = F.transform(pairs, lambda p: F.length(p["gaps"]) + F.coalesce(F.length(p["hits"]), F.lit(0)))
+
+        def spans(before: Callable[[Column], Column]) -> Column:
+            def span(pair: Column, i: Column) -> Column:
+                return _let(before(i) + F.length(pair["gaps"]), lambda start: F.struct(
+                    F.lit(kind).alias("kind"),
+                    start.alias("start"),
+                    (start + F.length(pair["hits"])).alias("end"),
+                    pair["hits"].alias("value"),
+                    F.right(pair["gaps"], F.lit(CONTEXT)).alias("before"),
+                ))
 
-    begin = F.struct(F.lit(0).alias("at"), empty.alias("found"))
-    walked = F.aggregate(F.arrays_zip(gaps.alias("gaps"), hits.alias("hits")), begin, step)
-    return F.when(maybe, walked["found"]).otherwise(empty)
+            return F.filter(F.transform(pairs, span), lambda s: s["value"].isNotNull())
+
+        return _running(sizes, lambda a, b: a + b, spans)
+
+    found = _let(F.arrays_zip(gaps.alias("gaps"), hits.alias("hits")), placed)
+    return F.when(maybe, found).otherwise(empty)
 
 
 def _luhn(value: Column) -> Column:
@@ -224,21 +262,27 @@ def redact(docs: DataFrame, model: SpanModel, text_col: str = "text") -> DataFra
     columns = [f"k{i}" for i in range(len(docs.columns))]  # other columns may have any name
     held_text = columns[docs.columns.index(text_col)]
     text = F.col(held_text)
-    placed = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"], s["end"], s["kind"])))
-
-    def step(held: Column, s: Column) -> Column:
-        before = F.substring(text, held["at"] + 1, s["start"] - held["at"])
-        more = F.concat(held["out"], before, F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        fresh = s["start"] >= held["at"]
-        return F.struct(
-            F.when(fresh, more).otherwise(held["out"]).alias("out"),
-            F.greatest(held["at"], s["end"]).alias("at"),
-        )
-
-    begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    masked = F.aggregate(
-        placed, begin, step, lambda held: F.concat(held["out"], F.substring(text, held["at"] + 1, F.length(text)))
-    )
+    spans = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"], s["end"], s["kind"])))
+    # Places in a long text are found by its chunks, not by counting from its beginning.
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+    def between(chunks: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / CHUNK).cast("int")
+        held = F.slice(chunks, first + 1, F.floor((end - 1) / CHUNK).cast("int") - first + 1)
+        cut = F.substring(F.array_join(held, ""), start % CHUNK + 1, end - start)
+        return F.when(start < end, cut).otherwise(F.lit(""))
+
+    def pieces(spans: Column, chunks: Column, before: Callable[[Column], Column]) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            mark = lambda at: F.concat(between(chunks, at, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+            return _let(before(i), lambda at: F.when(s["start"] >= at, mark(at)).otherwise(F.lit("")))
+
+        rest = between(chunks, before(F.size(spans)), F.length(text))
+        return F.concat(F.array_join(F.transform(spans, piece), ""), rest)
+
+    masked = _let(spans, lambda spans: _let(chunks, lambda chunks: _running(
+        F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b), lambda before: pieces(spans, chunks, before)
+    )))
     found = find_pii(docs.toDF(*columns), model, held_text)
     new = F.when(F.size("_spans") > 0, masked).otherwise(text)
     return found.select(*[new if c == held_text else F.col(c) for c in columns]).toDF(*docs.columns)
