@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from quietband.llm.vectors import matrix, usable
 
 NEIGHBOURS = 20
-FACTOR = 0.6
+# One loses no neighbour; 0.6 kept 0.72 of them on vectors of very different lengths.
+FACTOR = 1.0
 SHARD_ROWS = 16_384
 MIN_SHARDS = 24
 BLOCK_QUERIES = 4_096
