@@ -6,7 +6,8 @@ import duckdb
 import pandas as pd
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from quietband.plans.catalog import REGISTRY
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="benchmark tables are absent")
@@ -28,10 +29,10 @@ def oracle():
     return base
 
 
-@pytest.mark.parametrize("name", list(oracle_sql()))
+@pytest.mark.parametrize("name", [name for name, query in REGISTRY.items() if query.sql])
 def test_query_matches_its_oracle(spark, oracle, name):
-    mine = queries()[name](spark, SF_DIR).toPandas()
-    truth = oracle.execute(oracle_sql()[name]).df()
+    mine = REGISTRY[name].run(spark, SF_DIR).toPandas()
+    truth = oracle.execute(REGISTRY[name].sql).df()
     assert sorted(mine.columns) == sorted(truth.columns)
     assert _rows(mine) == _rows(truth)
 
