@@ -37,20 +37,11 @@ PART_SQL = """SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT)
   round(p_retailprice, 6) + 0.0 AS p_retailprice FROM part"""
 
 
-def _single_file(df, suffix: str, sep: str) -> str:
-    """Write a delimited file the way users bring one, and name it."""
-    spark = df.sparkSession
-    folder = f"{shared_folder(spark)}"
-    df.coalesce(1).write.options(header=True, sep=sep, escape='"').csv(folder)
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    part = next(
-        s.getPath() for s in system.listStatus(path) if s.getPath().getName().startswith("part-")
-    )
-    target = jvm.org.apache.hadoop.fs.Path(f"{folder}/import{suffix}")
-    system.rename(part, target)
-    return target.toString()
+def _delimited(df, suffix: str, sep: str) -> str:
+    """Write a folder of delimited files, one per partition, and name it like a file."""
+    folder = shared_folder(df.sparkSession) + suffix
+    df.write.options(header=True, sep=sep, escape='"').csv(folder)
+    return folder
 
 
 # --- sources -------------------------------------------------------------------------------
@@ -58,7 +49,7 @@ def _single_file(df, suffix: str, sep: str) -> str:
 
 @query("read_delimited", PART_SQL)
 def read_delimited_query(spark, sf_dir):
-    return rounded(read_delimited(spark, _single_file(table(spark, sf_dir, "part"), ".csv", ";")))
+    return rounded(read_delimited(spark, _delimited(table(spark, sf_dir, "part"), ".csv", ";")))
 
 
 QUOTED_SQL = PART_SQL.replace(
@@ -71,12 +62,12 @@ def read_delimited_quoted_query(spark, sf_dir):
     """Names with quotes, separators and line breaks, written as other programs write them."""
     named = F.concat(F.lit('the "'), "p_name", F.lit('"\nsecond; line'))
     part = table(spark, sf_dir, "part").withColumn("p_name", named)
-    return rounded(read_delimited(spark, _single_file(part, ".csv", ";")))
+    return rounded(read_delimited(spark, _delimited(part, ".csv", ";")))
 
 
 @query("read_tsv", PART_SQL)
 def read_tsv_query(spark, sf_dir):
-    return rounded(read_tsv(spark, _single_file(table(spark, sf_dir, "part"), ".tab", "\t")))
+    return rounded(read_tsv(spark, _delimited(table(spark, sf_dir, "part"), ".tab", "\t")))
 
 
 @query(

@@ -5,7 +5,6 @@ from __future__ import annotations
 import codecs
 import csv
 import io
-import re
 from collections import Counter
 from dataclasses import dataclass
 
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quietband.sources.names import clean_column_names
+from quietband.sources.records import ends_inside, quoted_records, text_lines
 
 HEAD_BYTES = 10_240
 SEPARATORS = ",;\t|"
@@ -29,6 +29,20 @@ class UnreadableFile(ValueError):
     """The file is not delimited text this reader understands."""
 
 
+def first_file(spark: SparkSession, path: str) -> str:
+    """The path itself, or the first file of a folder by name that holds anything."""
+    jvm = spark.sparkContext._jvm
+    location = jvm.org.apache.hadoop.fs.Path(path)
+    system = location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.getFileStatus(location).isDirectory():
+        return path
+    held = [s.getPath() for s in system.listStatus(location) if s.isFile() and s.getLen() > 0]
+    names = sorted(p.toString() for p in held if p.getName()[0] not in "._")
+    if not names:
+        raise UnreadableFile(f"the folder {path} holds no data")
+    return names[0]
+
+
 def read_head(spark: SparkSession, path: str, size: int = HEAD_BYTES) -> bytes:
     """First bytes of a file on any Hadoop file system."""
     jvm = spark.sparkContext._jvm
@@ -42,17 +56,18 @@ def read_head(spark: SparkSession, path: str, size: int = HEAD_BYTES) -> bytes:
 
 
 def has_quoted_breaks(spark: SparkSession, path: str, layout: Layout) -> bool:
-    """Whether any quoted field of the file goes on in the next line, found in one scan of its lines.
+    """Whether any quoted field goes on in the next line, found in one scan of the lines.
 
     The first record that spans lines starts a line, so its first line, taken apart on its
     own, ends within quotes; where no line does, no record spans lines.
     """
-    if '"\n'.encode(layout.encoding) != b'"\n':
+    if not _ascii_quotes(layout):
         return True  # quote signs do not show in the bytes: let the parser find them
-    start = f"(^|{re.escape(layout.sep)})\""
-    value = F.regexp_replace("value", '""', "")  # doubled quotes and empty fields
-    value = F.regexp_replace(value, f'{start}[^"]*"', "$1")
-    return not spark.read.text(path).where(value.rlike(start)).isEmpty()
+    return not spark.read.text(path).where(ends_inside(F.col("value"), layout.sep)).isEmpty()
+
+
+def _ascii_quotes(layout: Layout) -> bool:
+    return '"\n'.encode(layout.encoding) == b'"\n'
 
 
 @dataclass(frozen=True)
@@ -116,33 +131,38 @@ def read_delimited(
     max_rows: int | None = None,
     multiline: bool | None = None,
 ) -> DataFrame:
-    """Read one CSV or TSV file with doubled quotes inside quoted fields.
+    """Read a CSV or TSV file, or a folder of them, with doubled quotes inside quoted fields.
 
-    Short lines are padded with NULL; lines with anything in the 16 fields beyond the
-    last column are skipped. Quoted line breaks are looked for in the whole file unless
-    ``multiline`` is given; a file that has them is read by one task.
+    The layout comes from the head of the (first) file. Short lines are padded with NULL;
+    lines with anything in the 16 fields beyond the last column are skipped. Quoted line
+    breaks are looked for in all lines unless ``multiline`` is given; such files are cut
+    into records by as many tasks as they have byte ranges.
     """
-    suffix = path[path.rfind("."):].lower() if "." in path else ""
+    name = path.rstrip("/")
+    suffix = name[name.rfind("."):].lower() if "." in name else ""
     if suffix not in EXTENSIONS:
         raise UnreadableFile(f"unsupported extension {suffix!r}, expected one of {EXTENSIONS}")
     if sep is None and suffix in (".tsv", ".tab"):
         sep = "\t"
-    found = inspect_head(read_head(spark, path), sep, encoding)
+    head = read_head(spark, first_file(spark, path))
+    found = inspect_head(head, sep, encoding)
     header = found.header if header is None else header
     if multiline is None:
         multiline = found.multiline or has_quoted_breaks(spark, path, found)
-    reader = spark.read.options(
-        sep=found.sep,
-        header=header,
-        encoding=SPARK_ENCODING.get(found.encoding, found.encoding),
-        escape='"',
-        multiLine=multiline,
-    )
-    # Field count and names come from the first line of the head, types from the file.
-    inferred = reader.option("inferSchema", True).option("mode", "DROPMALFORMED").csv(path).schema
+    written_in = SPARK_ENCODING.get(found.encoding, found.encoding)
+    options = dict(sep=found.sep, escape='"', multiLine=multiline)
+    # Field count and names come from the first record of the head, types from the file.
+    infer = spark.read.options(**options, inferSchema=True, mode="DROPMALFORMED", header=header)
+    if multiline and _ascii_quotes(found):
+        records = quoted_records(text_lines(spark, path, written_in), found.sep, header)
+        inferred = _parsed(infer, _first_record(spark, head.decode(found.encoding, errors="replace"), found.sep).union(records)).schema
+        parsed = lambda reader: _parsed(reader, records)
+    else:
+        inferred = infer.option("encoding", written_in).csv(path).schema
+        parsed = lambda reader: reader.options(header=header, encoding=written_in).csv(path)
     surplus = [T.StructField(f"{_EXTRA}{i}", T.StringType()) for i in range(SURPLUS_FIELDS)]
-    reader = reader.option("mode", "PERMISSIVE").option("enforceSchema", True)
-    rows = reader.schema(T.StructType([*inferred.fields, *surplus])).csv(path)
+    reader = spark.read.options(**options, mode="PERMISSIVE", enforceSchema=True)
+    rows = parsed(reader.schema(T.StructType([*inferred.fields, *surplus])))
     names = [field.name for field in surplus]
     rows = rows.where(F.coalesce(*names).isNull()).drop(*names)
     if not header:
@@ -151,5 +171,18 @@ def read_delimited(
     return rows if max_rows is None else rows.limit(max_rows)
 
 
+def _parsed(reader, records: DataFrame) -> DataFrame:
+    """Spark's own parser over strings that each hold one record."""
+    strings = records.sparkSession.sparkContext._jvm.org.apache.spark.sql.Encoders.STRING()
+    return reader._df(reader._jreader.csv(getattr(records._jdf, "as")(strings)))
+
+
+def _first_record(spark: SparkSession, head: str, sep: str) -> DataFrame:
+    rows = csv.reader(io.StringIO(head.lstrip("\ufeff"), newline=""), delimiter=sep)
+    line = io.StringIO()
+    csv.writer(line, delimiter=sep, quoting=csv.QUOTE_ALL, lineterminator="").writerow(next(filter(None, rows), []))
+    return spark.createDataFrame([(line.getvalue(),)], "record string")
+
+
 def read_tsv(spark: SparkSession, path: str, **options) -> DataFrame:
     return read_delimited(spark, path, sep="\t", **options)

@@ -1,9 +1,14 @@
+import csv
+import io
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from quietband.sources.dataset import numeric_matrix, read_dataset, write_dataset
 from quietband.sources.delimited import (
     HEAD_BYTES,
+    SPARK_ENCODING,
     Layout,
     UnreadableFile,
     detect_encoding,
@@ -13,6 +18,7 @@ from quietband.sources.delimited import (
     read_tsv,
 )
 from quietband.sources.names import cleaned_names
+from quietband.sources.records import quoted_records, text_lines
 from quietband.sources.query import QueryRejected, check_read_only, read_query
 
 HEADER = ["temperature", "Flow Rate", "sensor id"]
@@ -114,3 +120,77 @@ def test_dataset_round_trip_and_numeric_matrix(spark, tmp_path):
     assert read_dataset(spark, info["path"]).count() == 3
     kept = numeric_matrix(table)
     assert kept.dtypes == [("x", "double"), ("n", "double")] and kept.count() == 2
+
+
+def _random_file(rng, rows, sep, ending):
+    """Fields with separators, quotes, line breaks, blanks and stray quote signs."""
+    signs = ["a", "b c", sep, '"', "\n", "é", "", "12"]
+    table, lines = [], []
+    for i in range(rows):
+        fields = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 6))) for _ in range(3)]
+        fields.append(f'{i}" pipe')  # a quote sign that opens nothing
+        table.append(fields)
+        quoted = ['"' + f.replace('"', '""') + '"' for f in fields[:3]]
+        lines.append(sep.join([*quoted, fields[3]]))
+    return table, ending.join(lines) + ending
+
+
+@pytest.mark.parametrize("sep, ending, encoding", [(",", "\n", "utf-8"), ("|", "\r\n", "latin-1")])
+def test_records_are_cut_alike_by_many_tasks(spark, tmp_path, sep, ending, encoding):
+    rng = random.Random(7)
+    table, text = _random_file(rng, 300, sep, ending)
+    (tmp_path / "many").mkdir()
+    for part in range(2):
+        (tmp_path / "many" / f"{part}.csv").write_bytes(text.encode(encoding))
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "257")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        lines = text_lines(spark, str(tmp_path / "many"), SPARK_ENCODING[encoding])
+        assert lines.rdd.getNumPartitions() > 20
+        found = [r["record"] for r in quoted_records(lines, sep, header=False).collect()]
+        shorter = quoted_records(lines, sep, header=True).count()
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)
+    assert shorter == 2 * len(table) - 2
+    parsed = sorted(next(csv.reader(io.StringIO(r, newline=""), delimiter=sep)) for r in found)
+    assert parsed == sorted(table * 2)
+
+
+def test_a_field_longer_than_many_byte_ranges(spark, tmp_path):
+    path = tmp_path / "long.csv"
+    long = "line of text\n" * 400
+    path.write_text(f'name,note\nx,"{long}"\ny,"z\nz"\n')
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        rows = dict(map(tuple, read_delimited(spark, str(path)).collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert rows == {"x": long, "y": "z\nz"}
+
+
+def test_folders_are_read_whole(spark, tmp_path):
+    folder = tmp_path / "many.csv"
+    spark.range(100).selectExpr("id", "concat('a\n', id) as note").repartition(5).write.options(
+        header=True, escape='"'
+    ).csv(str(folder))
+    table = read_delimited(spark, str(folder))
+    assert table.columns == ["id", "note"] and table.count() == 100
+    assert table.where("note = concat('a\n', id)").count() == 100
+    with pytest.raises(UnreadableFile):
+        (tmp_path / "none.csv").mkdir()
+        read_delimited(spark, str(tmp_path / "none.csv"))
+
+
+def test_types_and_names_of_records_with_line_breaks(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text('a,a,Big Name\n1\n2,"x\ny",3.5\n7,z,1\n')
+    table = read_delimited(spark, str(path))
+    assert [k for _, k in table.dtypes] == ["int", "string", "double"]
+    assert sorted(r[0] for r in table.collect()) == [1, 2, 7]
+    alone = tmp_path / "plain.csv"
+    alone.write_text("a,a,Big Name\n1\n2,xy,3.5\n7,z,1\n")
+    assert table.dtypes == read_delimited(spark, str(alone)).dtypes
