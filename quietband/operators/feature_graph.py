@@ -12,14 +12,15 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quietband.functions import smallmath
 from quietband.functions.partials import partial_sums
 from quietband.functions.quantiles import exact_quantiles
 from quietband.operators.graph import connected_components
-from quietband.session import check_broadcast
+from quietband.operators.mutual_information import joint_information
+from quietband.session import check_broadcast, cut_lineage
 
 THRESHOLD_SIGMA = 1.5
 LASSO_MIN_ROWS = 10
@@ -182,39 +183,17 @@ def mutual_information_edges(
     else:
         known = group_cuts(df, vector, d, bins, by)
     check_broadcast(d * (1 if known is None else len(known)), 8 * bins, "the histogram cut points")
+    group = F.lit(0) if by is None else F.col(by)
+    rows = df.select(group.cast("long").alias("grp"), F.col(vector).alias("vec"))
+    raw = cut_lineage(joint_information(rows, d, bins, lambda grp: cuts if known is None else known[grp]))
+    return _scaled(raw, by)
 
-    def block(rows: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
-        cuts_here = cuts if own is None else own
-        binned = np.column_stack([np.searchsorted(cuts_here[j], rows[:, j]) for j in range(d)])
-        counts = np.zeros((d, d, bins * bins))
-        for i in range(d - 1):
-            joint = binned[:, [i]] * bins + binned[:, i + 1 :]
-            offset = np.arange(d - i - 1) * bins * bins
-            flat = np.bincount((joint + offset).ravel(), minlength=len(offset) * bins * bins)
-            counts[i, i + 1 :] = flat.reshape(len(offset), -1)
-        return counts.ravel()
-
-    cell = bins * bins
-    joint = partial_sums(df, vector, d * d * cell, block, by, known).select(
-        "grp",
-        F.floor(F.col("slot") / (d * cell)).cast("int").alias("i"),
-        (F.floor(F.col("slot") / cell) % d).cast("int").alias("j"),
-        (F.floor(F.col("slot") / bins) % bins).alias("a"),
-        (F.col("slot") % bins).alias("b"),
-        F.col("value").alias("c"),
-    )
-    pair = Window.partitionBy("grp", "i", "j")
-    with_margins = (
-        joint.withColumn("n", F.sum("c").over(pair))
-        .withColumn("ca", F.sum("c").over(Window.partitionBy("grp", "i", "j", "a")))
-        .withColumn("cb", F.sum("c").over(Window.partitionBy("grp", "i", "j", "b")))
-    )
-    term = F.col("c") / F.col("n") * F.ln(F.col("c") * F.col("n") / (F.col("ca") * F.col("cb")))
-    raw = with_margins.groupBy("grp", "i", "j").agg(F.greatest(F.sum(term), F.lit(0.0)).alias("mi"))
-    top = F.max("mi").over(Window.partitionBy("grp"))
-    scaled = raw.select(
-        "grp", "i", "j", F.when(top > 1e-10, F.col("mi") / top).otherwise(F.col("mi")).alias("weight")
-    )
+
+def _scaled(raw: DataFrame, by: str | None) -> DataFrame:
+    """Divide each group's ``mi`` by its largest, unless all are 0. ``raw`` is read twice."""
+    tops = raw.groupBy("grp").agg(F.max("mi").alias("top"))  # one row per group
+    weight = F.when(F.col("top") > 1e-10, F.col("mi") / F.col("top")).otherwise(F.col("mi"))
+    scaled = raw.join(F.broadcast(tops), "grp").select("grp", "i", "j", weight.alias("weight"))
     return scaled.drop("grp") if by is None else scaled.withColumnRenamed("grp", by)
 
 
