@@ -72,6 +72,13 @@ class WordEncoder:
             for text, words in zip(texts, cut)
         ]
 
+    def units(self, units: set[str]) -> list[bytes]:
+        """Ids of each unit by itself, as the bytes of an array of ``dtype``; none holds white space."""
+        if len(self.words) > MAX_WORDS:
+            self.old, self.words = self.words, {}
+        self._learn(units)
+        return list(map(self.words.__getitem__, units))
+
     def _cut(self, text: str) -> list[str] | None:
         lowered = text.lower() if self.lowers and _latin(text) else text
         # Lowering may make such a string, which the library sees only where it stands in the text.
