@@ -178,12 +178,20 @@ def test_search_with_few_candidates(spark):
     assert nearest(table.limit(0), table.vec_id == 0).count() == 0
 
 
-def test_recall_of_the_default_factor():
-    rng = np.random.default_rng(2)
-    points, asked = rng.normal(size=(4000, 24)), rng.normal(size=(60, 24))
+@pytest.mark.parametrize("kind", ["unit", "clustered", "skewed"])
+def test_recall_of_full_shards(kind):
+    rng = np.random.default_rng(8)
+    points = rng.normal(size=(vp_tree.SHARD_ROWS, 64))
+    if kind == "clustered":
+        points = rng.normal(size=(40, 64))[rng.integers(0, 40, len(points))] + 0.2 * points
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    if kind == "skewed":
+        points *= rng.lognormal(0, 1, (len(points), 1))
+    asked = np.arange(0, len(points), 200)
     tree = vp_tree.VantageTree(points)
-    tree.ids = np.arange(4000)
-    rows, best = tree.search(asked, np.full(60, -1), 20, vp_tree.FACTOR)
-    truth = np.argsort(-(asked @ points.T), axis=1)[:, :20]
-    mine = [set(r[np.argsort(-b)][:20]) for r, b in zip(rows, best)]
-    assert np.mean([len(m & set(t)) / 20 for m, t in zip(mine, truth)]) >= 0.9
+    rows, _ = tree.search(points[asked], asked, 20, vp_tree.FACTOR)
+    product = points[asked] @ points.T
+    product[np.arange(len(asked)), asked] = -np.inf
+    truth = np.argsort(-product, axis=1)[:, :20]
+    recall = np.mean([len(set(a) & set(b)) / 20 for a, b in zip(rows, truth)])
+    assert recall == 1

@@ -4,13 +4,14 @@ import hashlib
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 
 import corpus_pipeline
 from __spark_entry__ import queries
 from quietband.llm import url_rules
-from quietband.llm.catalog import QUERIES, URL_RULES
+from quietband.llm.catalog import ORACLE_SQL, QUERIES, URL_RULES
 from quietband.llm.mixing import mix_sources, mixed_documents
 from quietband.llm.pii import SpanModel, dawid_skene, redact, report_pii
 from quietband.llm.quality import measures, score_quality
@@ -222,5 +223,36 @@ def test_pipeline_on_odd_documents(spark, labelled, tmp_path):
 
 
 def test_all_operators_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert {*QUERIES, "pipeline"} <= set(queries())
+
+
+def test_near_copies_are_decided_row_by_row(spark, tmp_path):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, a), (5, a + " more"), (5, b), (9, b + " more"), (None, a + " x"), (7, None), (7, None), (8, ""), (1, "z")]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, row int, word int")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    texts = [r["text"] for r in kept.collect()]
+    assert sum((t or "").startswith("a0 ") for t in texts) == 1 and sum((t or "").startswith("b0 ") for t in texts) == 1
+    assert len(texts) == 6 and texts.count(None) == 2 and "" in texts and "z" in texts
+    assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_url_query_matches_its_oracle(spark):
+    folder = "/root/testdata/sf0.001"
+    mine = queries()["op6_url_filter"](spark, folder).toPandas()
+    base = duckdb.connect()
+    base.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet'")
+    truth = base.execute(ORACLE_SQL["op6_url_filter"]).df()
+    assert sorted(map(str, mine[truth.columns].to_numpy().tolist())) == sorted(map(str, truth.to_numpy().tolist()))
+
+
+def test_thousands_of_spans_in_one_text(spark):
+    many = "é " + " ".join(f"a{i}@b.c x 10.0.{i % 250}.1" for i in range(8000)) + " tail"
+    docs = spark.createDataFrame([(1, many), (2, None)], "doc_id long, text string")
+    found = report_pii(docs).where("doc_id = 1").first()
+    spans = [f"{k}:{m.start()}:{m.end()}" for k in ("email", "ip") for m in re.finditer(PATTERNS[k], many)]
+    assert found["spans"] == ",".join(spans) and found["n_ip"] == 8000
+    masked = redact(docs, SpanModel.fit(docs)).where("doc_id = 1").first()["text"]
+    assert masked == "é " + " ".join(["[EMAIL] x [IP]"] * 8000) + " tail"
