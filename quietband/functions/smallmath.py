@@ -34,6 +34,20 @@ def component_count(linked: np.ndarray) -> int:
     return count
 
 
+def component_labels(linked: np.ndarray) -> np.ndarray:
+    """Number of the connected component of every node of a dense boolean adjacency."""
+    label = np.full(len(linked), -1)
+    for number in range(len(linked)):
+        if (label >= 0).all():
+            break
+        frontier = np.zeros(len(linked), dtype=bool)
+        frontier[np.argmax(label < 0)] = True
+        while frontier.any():
+            label[frontier] = number
+            frontier = linked[frontier].any(axis=0) & (label < 0)
+    return label
+
+
 def laplacian_matrix(weights: np.ndarray, normalized: bool = False) -> np.ndarray:
     degree = weights.sum(axis=1)
     lap = np.diag(degree) - weights
@@ -112,8 +126,12 @@ def spearman(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.corrcoef(ra, rb)[0, 1])
 
 
+# Penalty of the off-diagonal entries of a precision matrix.
+LASSO_PENALTY = 0.01
+
+
 def sparse_precision(
-    cov: np.ndarray, penalty: float = 0.01, rounds: int = 2000, tolerance: float = 1e-7
+    cov: np.ndarray, penalty: float = LASSO_PENALTY, rounds: int = 2000, tolerance: float = 1e-7
 ) -> np.ndarray:
     """L1-penalised precision of a covariance matrix (graphical lasso).
 

@@ -14,7 +14,9 @@ A row is a document, also where ids repeat. Shares are integers, so all results
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -25,13 +27,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quietband.llm.common import slices, store
+from quietband.session import partial_width
 
 # Bytes of a prefix in each pass before the one that counts whole terms.
-LEVELS = (2, 4, 8)
+LEVELS = (5, 9)
 MAP_BITS = 1 << 25  # 4 MB for each task, whatever the number of prefixes
 HASH_SEED = 42  # the seed of Spark's xxhash64
 # Counters a task holds before it passes them on, and known answers of the bit map.
-MAX_HELD = 300_000
+MAX_HELD = 600_000
+MAX_CELLS = 8_000_000  # counts of terms by source that a task holds, 64 MB
 # Kept terms of a language compared by one task, for all its sources.
 TERM_BLOCK = 4096
 SHARE_SCALE, SMOOTHING = 1_000_000_000, 5  # fixed values of a share
@@ -44,7 +48,7 @@ _TERM_BYTES = bytes(
 
 def terms_of(text: str) -> list[bytes]:
     """Terms of a text in order, as UTF-8."""
-    return text.encode("utf-8", "surrogatepass").translate(_TERM_BYTES).split()
+    return text.encode().translate(_TERM_BYTES).split()
 
 
 def source_divergence(
@@ -61,6 +65,7 @@ def source_divergence(
     clean = docs.select(
         *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")]
     )
+    clean = clean.coalesce(partial_width(clean))  # a task passes each count on once
     counts = store(kept_counts(clean, min_docs, levels), "counts")
     groups = store(clean.select("lang", "source").distinct(), "groups")
     return _report(counts, groups, top_terms)
@@ -70,39 +75,47 @@ def kept_counts(clean: DataFrame, min_docs: int, levels: tuple[int, ...] = LEVEL
     """``(lang, source, term, occurrences, in_lang)`` of the kept terms, where they occur."""
     alive = None
     for width in levels:
-        counted = _prefix_documents(clean, width, alive).where(F.col("docs") >= min_docs)
+        counted = _prefix_documents(clean, width, alive).where(F.col("count") >= min_docs)
         alive = (_bit_map(counted), width)
     found = store(_term_counts(clean, alive), "terms")
-    kept = (
-        found.groupBy("lang", "term")
-        .agg(F.sum("docs").alias("docs"), F.sum("occurrences").alias("in_lang"))
-        .where(F.col("docs") >= min_docs)
-        .select("lang", "term", "in_lang")
-    )
-    return found.join(kept, ["lang", "term"]).select("lang", "source", "term", "occurrences", "in_lang")
+    kept = found.where("source is null").where(F.col("count") >= min_docs).select("lang", "term")
+    held = found.where("source is not null").join(kept, ["lang", "term"])
+    held = store(held.withColumnRenamed("count", "occurrences"), "held")
+    in_lang = held.groupBy("lang", "term").agg(F.sum("occurrences").alias("in_lang"))
+    return held.join(in_lang, ["lang", "term"]).select("lang", "source", "term", "occurrences", "in_lang")
 
 
 class _Alive:
-    """Which terms of a language begin with a surviving prefix, remembered per term."""
+    """Which terms of a language begin with a surviving prefix; answers are remembered."""
 
     def __init__(self, bits: np.ndarray | None, width: int):
-        self.bits, self.width, self.known = bits, width, {}
+        self.bits, self.width, self.cut = bits, width, itemgetter(slice(0, width))
+        self.known: dict[bytes, tuple[set[bytes], set[bytes]]] = {}
 
-    def of(self, lang: bytes, terms: set[bytes]) -> set[bytes] | list[bytes]:
+    def of(self, lang: bytes, terms: set[bytes]) -> set[bytes]:
         if self.bits is None:
             return terms
-        known = self.known.setdefault(lang, {})
-        new = [t for t in terms if t not in known]
-        if new:
-            if len(known) + len(new) > MAX_HELD:
-                self.known = {lang: (known := {})}
-                new = list(terms)
-            head, seed, size = lang + b"\0", HASH_SEED, MAP_BITS - 1
-            prefixes = {t[: self.width] for t in new}
-            at = np.array([xxhash.xxh64_intdigest(head + p, seed) & size for p in prefixes], np.int64)
-            kept = dict(zip(prefixes, (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).tolist()))
-            known.update((t, kept[t[: self.width]]) for t in new)
-        return [t for t in terms if known[t]]
+        alive, dead = self.known.setdefault(lang, (set(), set()))
+        prefixes = set(map(self.cut, terms))
+        new = list(prefixes - alive - dead)
+        if len(alive) + len(dead) + len(new) > MAX_HELD:
+            self.known = {lang: (alive := set(), dead := set())}
+            new = list(prefixes)
+        head, seed, size = lang + b"\0", HASH_SEED, MAP_BITS - 1
+        at = np.array([xxhash.xxh64_intdigest(head + p, seed) & size for p in new], np.int64)
+        for prefix, kept in zip(new, (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).tolist()):
+            (alive if kept else dead).add(prefix)
+        width = self.width
+        return {t for t in terms if t[:width] in alive}
+
+
+def _by_key(cut: pa.RecordBatch) -> dict[tuple[str, ...], list[list[bytes]]]:
+    """Terms of the texts in the last column, by the values of the columns before it."""
+    found: dict[tuple[str, ...], list[list[bytes]]] = {}
+    *keys, texts = (column.to_pylist() for column in cut.columns)
+    for *key, text in zip(*keys, texts):
+        found.setdefault(tuple(key), []).append(terms_of(text))
+    return found
 
 
 def _key(lang, prefix):
@@ -121,82 +134,106 @@ def _bit_map(prefixes: DataFrame) -> np.ndarray:
 
 
 def _prefix_documents(clean: DataFrame, width: int, alive: tuple | None) -> DataFrame:
-    """``(lang, prefix, docs)``: documents of a language holding a term with the prefix."""
+    """``(lang, prefix, count)``: documents of a language holding a term with the prefix."""
     before = None if alive is None else clean.sparkSession.sparkContext.broadcast(alive)
+    shorten = itemgetter(slice(0, width))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = _Alive(*(before.value if before else (None, 0)))
-        held: Counter = Counter()
+        held: dict[str, Counter] = {}
         for batch in batches:
             for cut in slices(batch, 1):
-                for lang, text in zip(cut.column(0).to_pylist(), cut.column(1).to_pylist()):
-                    raw = lang.encode()
-                    found = look.of(raw, set(terms_of(text)))
-                    held.update((raw, p) for p in {t[:width] for t in found})
-                if len(held) > MAX_HELD:
-                    yield _prefix_batch(held)
-                    held = Counter()
-        if held:
-            yield _prefix_batch(held)
-
-    parts = clean.select("lang", "text").mapInArrow(count, "lang string, prefix binary, docs long")
-    return parts.groupBy("lang", "prefix").agg(F.sum("docs").alias("docs"))
-
-
-def _prefix_batch(held: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([k[0].decode() for k in held]),
-            pa.array([k[1] for k in held], pa.binary()),
-            pa.array(held.values(), pa.int64()),
-        ],
-        names=["lang", "prefix", "docs"],
-    )
+                for (lang,), texts in _by_key(cut).items():
+                    sets = [set(terms) for terms in texts]
+                    live = look.of(lang.encode(), set().union(*sets))
+                    counter = held.setdefault(lang, Counter())
+                    for terms in sets:
+                        counter.update(set(map(shorten, terms & live)))
+                if sum(map(len, held.values())) > MAX_HELD:
+                    yield from emit(held)
+                    held = {}
+        yield from emit(held)
+
+    def emit(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for lang, counter in held.items():
+            columns = [
+                pa.array([lang]).take(pa.array(np.zeros(len(counter), np.int32))),
+                pa.array(list(counter), pa.binary()),
+                pa.array(list(counter.values()), pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "prefix", "count"])
 
+    parts = clean.select("lang", "text").mapInArrow(count, "lang string, prefix binary, count long")
+    return parts.groupBy("lang", "prefix").agg(F.sum("count").alias("count"))
 
-def _term_counts(clean: DataFrame, alive: tuple | None) -> DataFrame:
-    """``(lang, source, term, docs, occurrences)`` of the terms that may be kept."""
-    before = None if alive is None else clean.sparkSession.sparkContext.broadcast(alive)
-    names = ["lang", "source", "term", "docs", "occurrences"]
 
-    def flush(held: dict) -> Iterator[pa.RecordBatch]:
-        for (lang, source), (docs, occurrences) in held.items():
-            size = len(docs)
+class _Held:
+    """Counts of numbered terms by language and source, before a task passes them on."""
+
+    def __init__(self):
+        self.numbers: dict[str, dict[bytes, int]] = {}
+        self.counts: dict[tuple[str, str | None], np.ndarray] = {}
+
+    def learn(self, lang: str, terms: set[bytes]) -> None:
+        numbers = self.numbers.setdefault(lang, {})
+        new = terms - numbers.keys()
+        numbers.update(zip(new, range(len(numbers), len(numbers) + len(new))))
+
+    def add(self, key: tuple[str, str | None], terms: Iterable[bytes]) -> None:
+        """Count the terms that have a number."""
+        numbers = self.numbers[key[0]]
+        found = np.fromiter(map(numbers.get, terms, repeat(-1)), np.int64)
+        counted = np.bincount(found + 1, minlength=len(numbers) + 1)[1:]
+        before = self.counts.get(key, counted[:0])
+        counted[: len(before)] += before
+        self.counts[key] = counted
+
+    def full(self) -> bool:
+        return sum(map(len, self.counts.values())) > MAX_CELLS or sum(map(len, self.numbers.values())) > MAX_HELD
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        names = {lang: pa.array(list(n), pa.binary()).cast(pa.string()) for lang, n in self.numbers.items()}
+        for (lang, source), counted in self.counts.items():
+            at = np.flatnonzero(counted)
+            first = pa.array(np.zeros(len(at), np.int32))
             columns = [
-                pa.array([lang] * size),
-                pa.array([source] * size),
-                pa.array([t.decode("utf-8", "replace") for t in docs], pa.string()),
-                pa.array(docs.values(), pa.int64()),
-                pa.array([occurrences[t] for t in docs], pa.int64()),
+                pa.array([lang]).take(first),
+                pa.array([source], pa.string()).take(first),
+                names[lang].take(pa.array(at)),
+                pa.array(counted[at]),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "count"])
+
+
+def _term_counts(clean: DataFrame, alive: tuple | None) -> DataFrame:
+    """``(lang, source, term, count)`` of the terms that may be kept.
+
+    Occurrences by source; rows without a source count documents of the language.
+    """
+    before = None if alive is None else clean.sparkSession.sparkContext.broadcast(alive)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = _Alive(*(before.value if before else (None, 0)))
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-        size = 0
+        held = _Held()
         for batch in batches:
             for cut in slices(batch, 2):
-                for lang, source, text in zip(*(cut.column(i).to_pylist() for i in range(3))):
-                    all_of = Counter(terms_of(text))
-                    found = look.of(lang.encode(), all_of.keys())
-                    if not found:
-                        continue
-                    docs, occurrences = held.setdefault((lang, source), (Counter(), Counter()))
-                    size -= len(docs)
-                    docs.update(found)
-                    size += len(docs)
-                    occurrences.update({t: all_of[t] for t in found})
-                if size > MAX_HELD:
-                    yield from flush(held)
-                    held, size = {}, 0
-        yield from flush(held)
-
-    schema = "lang string, source string, term string, docs long, occurrences long"
+                by_key = _by_key(cut)
+                for lang in {key[0] for key in by_key}:
+                    mine = {key: texts for key, texts in by_key.items() if key[0] == lang}
+                    sets = [set(terms) for texts in mine.values() for terms in texts]
+                    live = look.of(lang.encode(), set().union(*sets))
+                    held.learn(lang, live)
+                    held.add((lang, None), chain.from_iterable(terms & live for terms in sets))
+                    for key, texts in mine.items():
+                        held.add(key, chain.from_iterable(texts))
+                if held.full():
+                    yield from held.batches()
+                    held = _Held()
+        yield from held.batches()
+
+    schema = "lang string, source string, term string, count long"
     parts = clean.select("lang", "source", "text").mapInArrow(count, schema)
-    return parts.groupBy("lang", "source", "term").agg(
-        F.sum("docs").alias("docs"), F.sum("occurrences").alias("occurrences")
-    )
+    return parts.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"))
 
 
 def _share(count, total, terms):

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,6 +20,8 @@ from pyspark.sql import functions as F
 
 from quietband.functions import smallmath
 from quietband.functions.partials import partial_sums
+from quietband.functions.quantiles import exact_quantiles
+from quietband.functions.ranks import rank_correlation
 from quietband.functions.sampling import first_per_group, hash_order, quota_per_group
 from quietband.functions.vectors import to_matrix
 from quietband.operators import neighbors
@@ -42,6 +43,8 @@ TANGENT_LIMIT = 0.1
 DIVERGENT_SCORE = 0.5
 MIN_CHART_ROWS = 4
 MIN_SPLIT_ROWS = 8
+SPLIT_ROUNDS = 10
+SPLIT_TOLERANCE = 1e-3
 
 
 @dataclass(frozen=True)
@@ -137,14 +140,71 @@ def partition_regions(
     return found.select(id_col, number.cast("int").alias("region"))
 
 
-def split_region(points: DataFrame, id_col: str, column: str = "features", seed: int = 0) -> DataFrame:
+def split_region(points: DataFrame, id_col: str, column: str = "features") -> DataFrame:
     """``(id, half)`` by 2-means; used on the rows of a region that failed."""
-    rows = points.select(id_col, array_to_vector(column).alias("v")).persist()
-    try:
-        model = KMeans(k=2, seed=seed, featuresCol="v", predictionCol="half").fit(rows)
-    finally:
-        rows.unpersist()
-    return model.transform(rows).select(id_col, "half")
+    return split_regions(points.withColumn("_all", F.lit(0)), id_col, "_all", column).select(id_col, "half")
+
+
+def split_regions(points: DataFrame, id_col: str, by: str, column: str = "features") -> DataFrame:
+    """``(id, by, half)`` by 2-means within each group, all groups in the same few jobs.
+
+    Halves start at the mean plus and minus the spread along the column that varies most,
+    so that runs repeat. ``points`` is read once per round; groups are few.
+    """
+    d = width_of(points, column)
+    keyed = points.select(id_col, F.col(by).cast("long").alias(by), F.col(column).alias("_v"))
+
+    def moments_of(rows: np.ndarray) -> np.ndarray:
+        return np.concatenate([rows.sum(0), (rows**2).sum(0), [len(rows)]])
+
+    centres = {}
+    for grp, total in _totals(partial_sums(keyed, "_v", 2 * d + 1, moments_of, by), 2 * d + 1).items():
+        mean = total[:d] / total[-1]
+        spread = np.sqrt(np.maximum(total[d : 2 * d] / total[-1] - mean**2, 0))
+        step = np.where(np.arange(d) == spread.argmax(), spread, 0)
+        centres[grp] = np.stack([mean - step, mean + step])
+    check_broadcast(2 * len(centres), 8 * d, "the centres of halves")
+
+    def gather(rows: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        half = _nearer(rows, pair)
+        return np.concatenate([[(half == h).sum(), *rows[half == h].sum(0)] for h in (0, 1)])
+
+    for _ in range(SPLIT_ROUNDS):
+        moved = 0.0
+        sums = _totals(partial_sums(keyed, "_v", 2 * d + 2, gather, by, centres), 2 * d + 2)
+        for grp, total in sums.items():
+            for h, part in enumerate(total.reshape(2, d + 1)):
+                if part[0]:
+                    moved = max(moved, float(np.abs(part[1:] / part[0] - centres[grp][h]).max()))
+                    centres[grp][h] = part[1:] / part[0]
+        if moved < SPLIT_TOLERANCE:
+            break
+
+    def place(batches):
+        for batch in batches:
+            if batch.num_rows:
+                groups, rows = batch.column(1).to_numpy(), to_matrix(batch.column(2))
+                half = np.zeros(len(rows), np.int32)
+                for grp in np.unique(groups):
+                    mine = groups == grp
+                    half[mine] = _nearer(rows[mine], centres[int(grp)])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(half)], names=[id_col, by, "half"])
+
+    kind = points.schema[id_col].dataType.simpleString()
+    return keyed.mapInArrow(place, f"{id_col} {kind}, {by} long, half int")
+
+
+def _nearer(rows: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """0 or 1: the centre that lies nearer, the first of equally near ones."""
+    gap = (pair**2).sum(1) - 2 * rows @ pair.T
+    return (gap[:, 1] < gap[:, 0]).astype(np.int32)
+
+
+def _totals(sums: DataFrame, slots: int) -> dict[int, np.ndarray]:
+    found: dict[int, np.ndarray] = {}
+    for row in sums.collect():
+        found.setdefault(row["grp"], np.zeros(slots))[row["slot"]] = row["value"]
+    return found
 
 
 def row_neighbors(
@@ -282,24 +342,20 @@ def _distortion(basis: np.ndarray) -> float:
 
 def injectivity(pairs: DataFrame, group: str = "chart_id") -> DataFrame:
     """Rank correlation of ``ambient`` and ``chart`` distances of given pairs, per group."""
-    ranked = pairs
-    for column in ("ambient", "chart"):
-        tied = Window.partitionBy(group, column)
-        order = Window.partitionBy(group).orderBy(column)
-        average = F.rank().over(order) + (F.count("*").over(tied) - 1) / 2.0
-        ranked = ranked.withColumn(f"_{column}", average)
-    spread = F.stddev_pop("_ambient") * F.stddev_pop("_chart")
-    rank_corr = F.try_divide(F.covar_pop("_ambient", "_chart"), spread)
-    return ranked.groupBy(group).agg(F.coalesce(rank_corr, F.lit(0.0)).alias("injectivity"))
+    return rank_correlation(pairs, group, "ambient", "chart", "injectivity")
 
 
 def continuity(pairs: DataFrame, group: str = "chart_id") -> DataFrame:
-    """Whether the distance ratios of given (sampled) pairs stay near their median."""
+    """Whether the distance ratios of given pairs stay near their median, per chart."""
     ratio = F.when(F.col("ambient") >= 1e-12, F.col("chart") / F.col("ambient"))
-    limit = CONTINUITY_FACTOR * F.percentile(ratio, F.lit(0.5))
-    return pairs.groupBy(group).agg(
-        F.coalesce(F.percentile(ratio, F.lit(0.99)) < limit, F.lit(True)).alias("continuous")
-    )
+    names = [r[group] for r in pairs.select(group).distinct().collect()]  # charts are few
+    found = exact_quantiles(pairs, {str(n): F.when(F.col(group) == n, ratio) for n in names}, [0.5, 0.99])
+    rows = [
+        (name, middle is None or top < CONTINUITY_FACTOR * middle)
+        for name, (middle, top) in ((n, found[str(n)]) for n in names)
+    ]
+    kind = pairs.schema[group].dataType.simpleString()
+    return pairs.sparkSession.createDataFrame(rows, f"{group} {kind}, continuous boolean")
 
 
 def chart_quality(alignment: Column, distortion: Column, injective: Column) -> Column:
@@ -510,15 +566,14 @@ class _AtlasBuilder:
         )
 
     def _split(self, core: DataFrame, units: list[int]):
-        """Halve all failed units of a round; the table of units is written once."""
-        parts, owner = [], {}
-        for unit in units:
-            rows = core.where(F.col("unit") == unit).join(self.points, self.id_col)
-            number = (F.col("half") + F.lit(self.next_unit)).cast("int")
-            parts.append(split_region(rows, self.id_col).select(self.id_col, number.alias("new")))
-            owner |= {self.next_unit: unit, self.next_unit + 1: unit}
-            self.next_unit += 2
-        halves = reduce(DataFrame.unionByName, parts)
+        """Halve all failed units of a round together; the table of units is written once."""
+        first = {unit: self.next_unit + 2 * i for i, unit in enumerate(units)}
+        owner = {first[u] + half: u for u in units for half in (0, 1)}
+        self.next_unit += 2 * len(units)
+        rows = cut_lineage(core.where(F.col("unit").isin(units)).join(self.points, self.id_col))
+        number = F.create_map(*[F.lit(x) for pair in first.items() for x in pair])
+        new = (number[F.col("unit")] + F.col("half")).cast("int").alias("new")
+        halves = split_regions(rows, self.id_col, "unit").select(self.id_col, new)
         renamed = core.join(halves, self.id_col, "left")
         renamed = cut_lineage(renamed.select(self.id_col, F.coalesce("new", "unit").alias("unit")))
         counts: dict[int, dict[int, int]] = {unit: {} for unit in units}
@@ -533,10 +588,8 @@ def nearest_chart(points: DataFrame, members: DataFrame, id_col: str, d: int) ->
     def sums(rows: np.ndarray) -> np.ndarray:
         return np.append(rows.sum(axis=0), len(rows))
 
-    means: dict[int, np.ndarray] = {}
     located = members.join(points.select(id_col, "features"), id_col)
-    for row in partial_sums(located, "features", d + 1, sums, "chart_id").collect():
-        means.setdefault(row["grp"], np.zeros(d + 1))[row["slot"]] = row["value"]
+    means = _totals(partial_sums(located, "features", d + 1, sums, "chart_id"), d + 1)
     names = np.array(sorted(means))
     check_broadcast(len(names), 8 * d, "the chart means")
     centres = np.array([means[n][:d] / means[n][d] for n in names])

@@ -12,6 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +25,6 @@ from quietband.session import check_broadcast, cut_lineage
 
 THRESHOLD_SIGMA = 1.5
 LASSO_MIN_ROWS = 10
-LASSO_MAX_FEATURES = 512
 MI_BINS = 8
 
 
@@ -111,20 +111,51 @@ def _absolute_correlation(cov: np.ndarray) -> np.ndarray:
     return np.clip(corr, 0.0, 1.0)
 
 
-def _absolute_partial_correlation(m: Moments, method: str) -> np.ndarray:
-    d = len(m.mean)
-    sparse = method == "lasso" or (
-        method == "auto" and m.n >= LASSO_MIN_ROWS and d < m.n and d <= LASSO_MAX_FEATURES
-    )
-    if sparse:
-        precision = smallmath.sparse_precision(m.cov)
-    else:
-        precision = np.linalg.pinv(m.cov * (m.n / max(m.n - 1, 1)))
+def _scaled_precision(precision: np.ndarray) -> np.ndarray:
+    """Absolute partial correlations of a precision matrix."""
     scale = np.sqrt(np.abs(np.diag(precision)))
     scale = np.where(scale < 1e-10, 1.0, scale)
     return np.clip(np.abs(precision) / np.outer(scale, scale), 0.0, 1.0)
 
 
+def _partial_edges(spark, found: dict[int, Moments], d: int, by: str | None, method: str, penalty: float) -> DataFrame:
+    """Partial correlations per group; penalised ones are solved block by block in executors.
+
+    Columns whose covariances all stay within the penalty share no edge with others, and
+    the solution of each connected block is that of the whole (Witten et al., Mazumder and
+    Hastie), so every block is a row and a task of its own.
+    """
+    matrices, blocks = {}, []
+    for grp, m in found.items():
+        if method == "lasso" or (method == "auto" and m.n >= LASSO_MIN_ROWS and d < m.n):
+            matrices[grp] = np.zeros((d, d))
+            label = smallmath.component_labels(np.abs(m.cov) > penalty)
+            for members in (np.flatnonzero(label == c) for c in range(label.max() + 1)):
+                if len(members) > 1:
+                    cov = np.ascontiguousarray(m.cov[np.ix_(members, members)])
+                    blocks.append((grp, members.tolist(), bytearray(cov.tobytes())))
+        else:
+            matrices[grp] = _scaled_precision(np.linalg.pinv(m.cov * (m.n / max(m.n - 1, 1))))
+    edges = _edges_from_matrices(spark, matrices, d, by)
+    if not blocks:
+        return edges
+
+    def solve(batches):
+        for batch in batches:
+            for grp, members, raw in zip(*(column.to_pylist() for column in batch.columns)):
+                members = np.array(members)
+                cov = np.frombuffer(raw, np.float64).reshape(len(members), -1)
+                weights = _scaled_precision(smallmath.sparse_precision(cov, penalty))
+                i, j = np.triu_indices(len(members), k=1)
+                arrays = [np.full(len(i), grp), members[i].astype(np.int32), members[j].astype(np.int32), weights[i, j]]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, arrays)), names=["grp", "i", "j", "weight"])
+
+    dealt = spark.createDataFrame(blocks, "grp long, members array<int>, cov binary").repartition(len(blocks))
+    solved = dealt.mapInArrow(solve, "grp long, i int, j int, weight double")
+    solved = solved.drop("grp") if by is None else solved.withColumnRenamed("grp", by)
+    return edges.unionByName(solved).groupBy(*_keys(by), "i", "j").agg(F.sum("weight").alias("weight"))
+
+
 def correlation_edges(df: DataFrame, vector: str = "features", by: str | None = None) -> DataFrame:
     """Absolute Pearson correlation of every column pair; 0 for flat columns."""
     d = width_of(df, vector)
@@ -133,7 +164,11 @@ def correlation_edges(df: DataFrame, vector: str = "features", by: str | None =
 
 
 def partial_correlation_edges(
-    df: DataFrame, vector: str = "features", by: str | None = None, method: str = "auto"
+    df: DataFrame,
+    vector: str = "features",
+    by: str | None = None,
+    method: str = "auto",
+    penalty: float = smallmath.LASSO_PENALTY,
 ) -> DataFrame:
     """Absolute partial correlation from the precision matrix.
 
@@ -141,10 +176,7 @@ def partial_correlation_edges(
     the pseudo-inverse of the covariance otherwise.
     """
     d = width_of(df, vector)
-    matrices = {
-        g: _absolute_partial_correlation(m, method) for g, m in moments(df, vector, by, d).items()
-    }
-    return _edges_from_matrices(df.sparkSession, matrices, d, by)
+    return _partial_edges(df.sparkSession, moments(df, vector, by, d), d, by, method, penalty)
 
 
 def equal_depth_cuts(df: DataFrame, vector: str, d: int, bins: int = MI_BINS) -> np.ndarray:
@@ -268,12 +300,11 @@ def build_edges(
     d = d or width_of(df, vector)
     found = moments(df, vector, by, d)
     corr = {g: _absolute_correlation(m.cov) for g, m in found.items()}
-    partial = {g: _absolute_partial_correlation(m, "auto") for g, m in found.items()}
     combined = combine_graphs(
         [
             _edges_from_matrices(spark, corr, d, by),
             mutual_information_edges(df, vector, by, cuts=cuts, d=d),
-            _edges_from_matrices(spark, partial, d, by),
+            _partial_edges(spark, found, d, by, "auto", smallmath.LASSO_PENALTY),
         ],
         by,
     )

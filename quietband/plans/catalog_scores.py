@@ -6,7 +6,6 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quietband.functions.sampling import first_per_group
 from quietband.functions.vectors import norm, subtract
 from quietband.operators import charts, explore, report, scoring, spectral
 from quietband.plans.analysis import run_analysis
@@ -111,28 +110,23 @@ def chart_coordinates_query(spark, sf_dir):
     return rounded(decoded.select("id", *cells("coordinates", 1, "c"), *cells("decoded", 5)))
 
 
-PAIR_POINTS = 400
-
-
 def _neighbouring_pairs(spark, sf_dir):
-    """Distances of consecutive orders among the first 400 of each priority."""
-    points = first_per_group(charted_points(spark, sf_dir), ["chart_id"], ["id"], PAIR_POINTS)
-    following = F.lead("features").over(Window.partitionBy("chart_id").orderBy("id"))
+    """Distances of every order to the next one by key, under the order's priority."""
+    points = charted_points(spark, sf_dir)
+    following = points.select((F.col("id") - 1).alias("id"), F.col("features").alias("next"))
     gap = subtract(F.col("features"), F.col("next"))
-    moved = points.withColumn("next", following).where(F.col("next").isNotNull())
     along = sum((F.get(F.col("gap"), F.lit(i)) for i in range(3)), F.lit(0.0)) / np.sqrt(3)
-    return moved.withColumn("gap", gap).select(
-        "chart_id", norm(F.col("gap")).alias("ambient"), F.abs(along).alias("chart")
+    return cut_lineage(
+        points.join(following, "id")
+        .withColumn("gap", gap)
+        .select("chart_id", norm(F.col("gap")).alias("ambient"), F.abs(along).alias("chart"))
     )
 
 
-PAIRS_CTE = f"""{CHART_SQL}, few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chart_id ORDER BY id) AS rn
-  FROM cpts) WHERE rn <= {PAIR_POINTS}),
-gaps AS (SELECT chart_id, """ + ", ".join(
-    f"x{i} - lead(x{i}) OVER (PARTITION BY chart_id ORDER BY id) AS g{i}" for i in range(5)
-) + """ FROM few),
+PAIRS_CTE = f"""{CHART_SQL}, gaps AS (SELECT a.chart_id, """ + ", ".join(f"a.x{i} - b.x{i} AS g{i}" for i in range(5)) + """
+  FROM cpts a JOIN cpts b ON b.id = a.id + 1),
 pairs AS (SELECT chart_id, sqrt(g0*g0 + g1*g1 + g2*g2 + g3*g3 + g4*g4) AS ambient, abs(g0 + g1 + g2) / sqrt(3) AS chart
-  FROM gaps WHERE g0 IS NOT NULL)"""
+  FROM gaps)"""
 
 
 @query(

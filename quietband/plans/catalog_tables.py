@@ -366,6 +366,22 @@ def partial_correlation_edges_query(spark, sf_dir):
     return _edge_rows(fg.partial_correlation_edges(points, method="inverse"))
 
 
+# With a penalty above the correlations of the third column one pair is left, whose solution is closed.
+LASSO_PENALTY = 0.3
+
+
+@query(
+    "partial_correlation_edges_lasso",
+    f"""WITH {STD_SQL}, c AS (SELECT abs(corr(x1, x2)) - {LASSO_PENALTY} AS w, abs(corr(x1, x3)) AS a, abs(corr(x2, x3)) AS b FROM pts)
+SELECT 0 AS i, 1 AS j, {r('w')} AS weight FROM c
+UNION ALL SELECT 0, 2, 0.0::DOUBLE FROM c WHERE a <= {LASSO_PENALTY}
+UNION ALL SELECT 1, 2, 0.0::DOUBLE FROM c WHERE b <= {LASSO_PENALTY}""",
+)
+def partial_correlation_lasso_query(spark, sf_dir):
+    points = order_points(spark, sf_dir, ["qty", "price", "disc"])
+    return _edge_rows(fg.partial_correlation_edges(points, penalty=LASSO_PENALTY))
+
+
 @query(
     "combine_graphs",
     f"""WITH {PARTIAL_SQL} SELECT i, j, round(sum(weight) / 2, 6) + 0.0 AS weight

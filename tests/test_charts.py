@@ -146,3 +146,19 @@ def test_the_first_good_half_becomes_the_chart(plane, monkeypatch):
         gaps = {c: np.linalg.norm(np.array(rows[r.id]) - m) for c, m in means.items()}
         assert gaps[r.chart_id] == min(gaps.values())
     assert len(lost) == 240 - covered["covered"]
+
+
+def test_groups_are_halved_in_the_same_jobs(spark):
+    rng = np.random.default_rng(9)
+    rows, truth = [], {}
+    for grp in range(3):
+        for i in range(60):
+            side = int(rng.integers(0, 2))
+            truth[len(rows)] = (grp, side)
+            point = rng.normal(size=4) * 0.3 + 5 * side * np.eye(4)[grp] + 10 * grp
+            rows.append((len(rows), grp, point.tolist()))
+    df = spark.createDataFrame(rows, "id long, unit int, features array<double>").repartition(5)
+    found = charts.split_regions(df, "id", "unit").collect()
+    assert all((r["unit"], r["half"]) == truth[r["id"]] for r in found) and len(found) == len(rows)
+    alone = charts.split_region(df.where("unit = 1"), "id").collect()
+    assert {r["half"] for r in alone} == {0, 1} and len(alone) == 60

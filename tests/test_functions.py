@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quietband.functions import quantiles, sampling, smallmath, vectors
+from quietband.functions import quantiles, ranks, sampling, smallmath, vectors
 
 
 @pytest.mark.parametrize("k", [1, 2, 4, 6])
@@ -122,3 +122,23 @@ def test_exact_quantiles_end_on_few_values(spark, monkeypatch, values):
     full = np.sort(np.resize(np.array(values, float), 12_000))
     found = quantiles.exact_quantiles(rows, {"x": F.col("x")}, probs)["x"]
     assert np.allclose(found, np.quantile(full, probs))
+
+
+@pytest.mark.parametrize("shuffles", ["3", "40"])
+def test_ranks_of_groups_over_many_ranges(spark, shuffles):
+    rng = np.random.default_rng(3)
+    rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 3, 600), rng.integers(0, 90, 600))]
+    rows += [(7, -0.0), (7, 0.0), (7, float("nan")), (7, None)] + [(1, 5.0)] * 300
+    df = spark.createDataFrame(rows, "g int, v double").repartition(6)
+    saved = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+        found = ranks.average_ranks(df, "g", "v", "rank").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", saved)
+    assert len(found) == len(rows)
+    for grp in (0, 1, 2):
+        values = np.array([v for g, v in rows if g == grp])
+        truth = dict(zip(values.tolist(), smallmath.average_ranks(values)))
+        assert all(r["rank"] == truth[r["v"]] for r in found if r["g"] == grp)
+    assert sorted((r["rank"] for r in found if r["g"] == 7), key=str) == [1.5, 1.5, None, None]

@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quietband.functions import smallmath
 from quietband.operators import feature_graph as fg
+from quietband.operators import mutual_information as pair_counts
 from quietband.operators import graph, spectral
 
 
@@ -157,3 +159,41 @@ def test_threshold_keeps_equal_weights(edges):
     rows = edges([(0, 1, 1), (0, 2, 1), (1, 2, 1)])
     assert fg.threshold_graph(rows, fg.adaptive_edge_threshold(rows)).count() == 3
     assert fg.threshold_graph(rows, 1.5).count() == 0
+
+
+def test_tiles_of_columns_count_like_one_task(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(1500, 20))
+    x[:, 1] += x[:, 0]
+    rows = [(i % 2, r.tolist()) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "grp long, vec array<double>").repartition(5)
+    cuts = np.quantile(x, [k / 4 for k in range(1, 4)], axis=0).T
+    monkeypatch.setattr(pair_counts, "BLOCK_ROWS", 128)
+    monkeypatch.setattr(pair_counts, "CHUNK_BLOCKS", 2)
+    found = pair_counts.joint_information(df, 20, 4, lambda grp: cuts, tile=7).toPandas()
+    assert len(found) == 2 * 190
+    code = np.column_stack([np.searchsorted(c, v) for c, v in zip(cuts, x.T)])
+    for row in found.itertuples():
+        a, b = code[row.grp :: 2, row.i], code[row.grp :: 2, row.j]
+        joint = np.zeros((4, 4))
+        np.add.at(joint, (a, b), 1 / len(a))
+        outer = joint.sum(1, keepdims=True) * joint.sum(0, keepdims=True)
+        truth = (joint[joint > 0] * np.log(joint[joint > 0] / outer[joint > 0])).sum()
+        assert row.mi == pytest.approx(truth, abs=1e-12)
+
+
+def test_lasso_by_blocks_is_the_lasso_of_the_whole(points):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 12))
+    x[:, 1:3] += x[:, :1]
+    x[:, 6:9] += 2 * x[:, 5:6]
+    x = (x - x.mean(0)) / x.std(0)
+    cov, penalty = x.T @ x / len(x), 0.2
+    labels = smallmath.component_labels(np.abs(cov) > penalty)
+    assert labels.max() + 1 > 4
+    whole = smallmath.sparse_precision(cov, penalty, rounds=20000, tolerance=1e-10)
+    scale = np.sqrt(np.diag(whole))
+    found = fg.partial_correlation_edges(points(x), penalty=penalty).collect()
+    assert len(found) == 66
+    for r in found:
+        assert r["weight"] == pytest.approx(abs(whole[r["i"], r["j"]]) / scale[r["i"]] / scale[r["j"]], abs=1e-5)
