@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quietband.functions.vectors import norm, subtract
 from quietband.operators import charts, explore, report, scoring, spectral
+from quietband.operators.feature_graph import correlation_edges
 from quietband.plans.analysis import run_analysis
 from quietband.plans.inputs import (
     CHART_IDS,
@@ -17,9 +18,11 @@ from quietband.plans.inputs import (
     NORM_SQL,
     ORDER_COLS,
     PATH_COLS,
+    PAIRS_SQL,
     PATH_SQL,
     SCORE_BANDS,
     SCORE_SQL,
+    STD_SQL,
     cells,
     charted_points,
     embedding_points,
@@ -69,7 +72,17 @@ def split_region_query(spark, sf_dir):
     )
 
 
-@query("expand_region")
+# Boundary rows are as many as the quota asks for and the outside neighbours allow.
+@query(
+    "expand_region",
+    f"""WITH {PAIRS_SQL}, u AS (SELECT id, CAST(label % 3 AS INTEGER) AS unit FROM emb),
+outside AS (SELECT DISTINCT a.unit, rk.neighbor FROM rk JOIN u a ON a.id = rk.query JOIN u b ON b.id = rk.neighbor
+  WHERE rk.rank < {charts.OVERLAP_NEIGHBORS} AND a.unit <> b.unit),
+sizes AS (SELECT unit, count(*) AS n FROM u GROUP BY unit),
+wide AS (SELECT unit, count(*) AS m FROM outside GROUP BY unit)
+SELECT unit, 'core' AS role, n AS count FROM sizes UNION ALL
+SELECT unit, 'boundary', least(m, greatest(1, CAST(floor(n * 0.2) AS BIGINT))) FROM sizes JOIN wide USING (unit)""",
+)
 def expand_region_query(spark, sf_dir):
     points = embedding_points(spark, sf_dir)
     core = points.select("id", (F.col("label") % 3).cast("int").alias("unit"))
@@ -81,6 +94,26 @@ QUALITY_SQL = """CASE WHEN 1 - s < 0.05 THEN 'excellent' WHEN 1 - s < 0.15 THEN
   WHEN 1 - s < 0.3 THEN 'acceptable' WHEN 1 - s < 0.5 THEN 'poor' ELSE 'divergent' END"""
 
 
+ALIGN_ORDER, ALIGN_SIGNS = [3, 0, 4, 1, 2], [1, -1, -1, 1, -1]
+
+
+@query(
+    "align_basis",
+    "SELECT i, 0.0::DOUBLE AS gap, CAST(o AS BIGINT) AS column, 1.0::DOUBLE AS score FROM (VALUES "
+    + ", ".join(f"({i}, {ALIGN_ORDER.index(i)})" for i in range(5)) + ") AS t(i, o)",
+)
+def align_basis_query(spark, sf_dir):
+    """Eigenvectors of the orders' correlations, shuffled and with other signs, find back to themselves."""
+    edges = correlation_edges(order_points(spark, sf_dir))
+    reference = spectral.fit_basis(edges, 5).vectors
+    shuffled = reference[:, ALIGN_ORDER] * ALIGN_SIGNS
+    # Values tell where each column came from.
+    found = charts.align_basis(shuffled, np.arange(5.0), reference)
+    corner = np.abs(found.vectors) - np.abs(reference)  # full bases agree up to a reflection
+    rows = [(i, float(np.abs(corner[:, i]).max()), int(found.values[i]), found.score) for i in range(5)]
+    return rounded(spark.createDataFrame(rows, "i int, gap double, column long, score double"))
+
+
 @query(
     "alignment_quality",
     f"""WITH a AS (SELECT o_orderkey AS id, o_totalprice / (SELECT max(o_totalprice) FROM orders) AS s FROM orders)
@@ -248,6 +281,32 @@ def build_atlas_query(spark, sf_dir):
     )
 
 
+@query(
+    "build_atlas_invariants",
+    f"""WITH {CHART_SQL}, n AS (SELECT count(*) AS n FROM cpts)
+SELECT n AS points, n AS assigned, n AS in_charts, true AS members_covered, true AS charts_numbered, true AS gates_passed FROM n""",
+)
+def build_atlas_invariants(spark, sf_dir):
+    """Every order has one chart, sizes add up, coverage counts members, and all charts passed their gates."""
+    found = _atlas(spark, sf_dir)
+    numbers = [c.chart_id for c in found.charts]
+    assigned = found.assignments.agg(F.count("*").alias("rows"), F.count_distinct("id").alias("ids")).first()
+    sizes = found.assignments.where(F.col("chart_id").isin(numbers)).groupBy("chart_id").count()
+    covered, members = found.coverage.first(), found.members.select("id").distinct().count()
+    gates = all(
+        c.injectivity >= charts.INJECTIVITY_GATE and 0 <= c.score <= 1 and 0 <= c.alignment_score <= 1 + 1e-9
+        for c in found.charts
+    )
+    row = (
+        covered["points"], assigned["ids"] if assigned["rows"] == assigned["ids"] else -1,
+        sizes.agg(F.sum("count")).first()[0], covered["covered"] == members, numbers == list(range(len(numbers))), gates,
+    )
+    return spark.createDataFrame(
+        [row],
+        "points long, assigned long, in_charts long, members_covered boolean, charts_numbered boolean, gates_passed boolean",
+    )
+
+
 # --- scores ------------------------------------------------------------------------------------------
 
 
@@ -617,3 +676,33 @@ def project_query(spark, sf_dir):
 def run_analysis_query(spark, sf_dir):
     result = run_analysis(order_table(spark, sf_dir), "id", ORDER_COLS)
     return report.summary_row(result.report)
+
+
+PER_POINT = ["points", "coefficients", "assignments", "band_norms", "scores"]
+
+
+@query(
+    "run_analysis_stages",
+    f"""WITH {STD_SQL}, n AS (SELECT count(*) AS n FROM pts)
+SELECT unnest({[*PER_POINT, "report"]}) AS item, n AS rows, n AS ids FROM n
+UNION ALL SELECT unnest(['column_names', 'mean_power', 'basis']), {len(ORDER_COLS)}, 0
+UNION ALL SELECT unnest(['flags off threshold', 'summary off flags', 'types beyond flags', 'charts off summary']), 0, 0""",
+)
+def run_analysis_stages(spark, sf_dir):
+    """Stage tables of a whole run read back: every order once, flags as the threshold says, reports that add up."""
+    folder = shared_folder(spark)
+    result = run_analysis(order_table(spark, sf_dir), "id", ORDER_COLS, stage_dir=folder)
+    stage = lambda name: spark.read.parquet(f"{folder}/{name}")
+    rows = []
+    for name, table in [*[(n, stage(n)) for n in PER_POINT], ("report", result.report.table)]:
+        rows.append((name, *table.agg(F.count("*"), F.count_distinct("id")).first()))
+    rows += [(n, stage(n).count(), 0) for n in ("column_names", "mean_power", "basis")]
+    scores = stage("scores")
+    limit = scoring.mad_thresholds(scores, {"score": F.col("score")})["score"]
+    flagged = scores.where("is_anomaly").count()
+    rows.append(("flags off threshold", scores.where(F.col("is_anomaly") != (F.col("score") > limit)).count(), 0))
+    told = report.summary_row(result.report).first()
+    rows.append(("summary off flags", abs(told["total_anomalies"] - flagged), 0))
+    rows.append(("types beyond flags", max(0, told["spectral"] + told["partial"] + told["global"] - flagged), 0))
+    rows.append(("charts off summary", abs(stage("charts").count() - result.summary["n_charts"]), 0))
+    return spark.createDataFrame(rows, "item string, rows long, ids long")

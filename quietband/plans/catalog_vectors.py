@@ -140,6 +140,49 @@ def dim_eigen_gap_query(spark, sf_dir):
     return spark.createDataFrame([(value,)], "dim long")
 
 
+def _with_sum(spark, sf_dir, columns):
+    """Order points with the sum of their columns as a further one, which adds no dimension."""
+    points = order_points(spark, sf_dir, columns)
+    total = F.aggregate("features", F.lit(0.0), lambda a, b: a + b)
+    return points.withColumn("features", F.concat("features", F.array(total)))
+
+
+# Two columns and their sum: one eigenvalue is 0, the others solve a quadratic equation.
+@query(
+    "covariance_spectra",
+    f"""WITH {STD_SQL}, m AS (SELECT covar_samp(x1, x4) AS c, var_samp(x1) AS a, var_samp(x4) AS b FROM pts),
+t AS (SELECT 2 * (a + b + c) AS t, 3 * (a * b - c * c) AS m FROM m)
+SELECT 0 AS k, round((t + sqrt(t * t - 4 * m)) / 2, 6) + 0.0 AS value, 1 AS dim FROM t
+UNION ALL SELECT 1, round((t - sqrt(t * t - 4 * m)) / 2, 6) + 0.0, 1 FROM t UNION ALL SELECT 2, 0.0, 1""",
+)
+def covariance_spectra_query(spark, sf_dir):
+    points = cut_lineage(_with_sum(spark, sf_dir, ["qty", "tax"]))
+    values = dimension.covariance_spectra(points, "features")[0]
+    gap = dimension.dim_eigen_gap(points)
+    rows = [(k, abs(float(v)) if abs(v) < 1e-9 else float(v), gap) for k, v in enumerate(values)]
+    return rounded(spark.createDataFrame(rows, "k int, value double, dim int"))
+
+
+# Around rows of an exact plane two components explain everything.
+@query("dim_local_pca_plane", "SELECT CAST(2 AS BIGINT) AS dim FROM orders LIMIT 1")
+def dim_local_pca_plane(spark, sf_dir):
+    points = cut_lineage(_with_sum(spark, sf_dir, ["price", "tax"]))
+    return spark.createDataFrame([(dimension.dim_local_pca(points, "id"),)], "dim long")
+
+
+# The only edge of two columns reaches its own mean; a plane has at most two dimensions.
+@query(
+    "discover_structure_pair",
+    """SELECT 'graph' AS structure, 'graph_fourier' AS transform, true AS dim_fits, CAST(1 AS BIGINT) AS n_edges,
+  1.0::DOUBLE AS density, CAST(1 AS BIGINT) AS n_components, 1.0::DOUBLE AS avg_degree FROM orders LIMIT 1""",
+)
+def discover_structure_pair(spark, sf_dir):
+    points = cut_lineage(order_points(spark, sf_dir, ["price", "tax"]))
+    graph, found = dimension.discover_structure(points, "id", "exact")
+    fits = F.col("intrinsic_dim").between(1, 2).alias("dim_fits")
+    return rounded(found.select("structure", "transform", fits, "n_edges", "density", "n_components", "avg_degree"))
+
+
 @query("dim_local_pca")
 def dim_local_pca_query(spark, sf_dir):
     value = dimension.dim_local_pca(embedding_points(spark, sf_dir), "id")
