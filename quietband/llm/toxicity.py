@@ -1,12 +1,14 @@
 """Toxicity by a weighted finite-state grammar over the clauses of a text.
 
-Five small transducers read the words of a clause: insult and threat mark words,
-target remembers that somebody is addressed, negation covers the next words, and
-reported speech covers the rest of a clause after a verb of saying or a quotation
-mark. Their product is one transition table; running it over a clause adds each
-insult's weight to the way it is meant: plain, aimed, negated or reported. A
-logistic model over the matched clauses gives the score. Insult weights are
-log-odds of word stems, learned together with the model from labelled rows.
+Five small transducers read the words of a clause: insult and threat mark words, each
+kind with sums of its own; target remembers that somebody is addressed, negation covers
+the next words, and reported speech covers the rest of a clause after a verb of saying
+or a quotation mark. Their product is one transition table; running it over a clause
+tells how each mark is meant: plain, aimed, negated or reported. Marks that are plain
+where they stand wait for the end of the clause, whose state says whether anybody was
+addressed in it at all: a threat counts as one only then. A logistic model over the
+matched clauses gives the score. Insult weights are log-odds of word stems, learned
+together with the model from labelled rows.
 """
 
 from __future__ import annotations
@@ -36,7 +38,9 @@ STEM_COUNT = 6
 STEM_RATIO = 12.0
 MAX_STEMS = 20_000
 NEGATION_SCOPE = 3
-FEATURES = 9
+# Ways a mark can be meant, for insults and for threats, and five numbers of the whole text.
+PLAIN, AIMED, NEGATED, REPORTED = range(4)
+FEATURES = 13
 
 OTHER, INSULT, THREATENS, AIMS, NEGATES, REPORTS = range(6)
 _TOKENS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*|[.!?;\n\"“”«»]").findall
@@ -45,28 +49,34 @@ _QUOTES = set("\"“”«»")
 _WORD = r"\p{L}+(?:'\p{L}+)*"
 
 
-def composed() -> tuple[np.ndarray, np.ndarray]:
-    """Product of the negation, target and reported-speech transducers.
+def composed() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Product of the insult, threat, target, negation and reported-speech transducers.
 
-    ``step[state, class]`` is the next state and ``meant[state, class]`` what a mark
-    of that class means there: 0 plain, 1 aimed, 2 negated, 3 reported.
+    ``step[state, class]`` is the next state and ``meant[state, class]`` what reading a
+    word of that class puts out: -1 nothing, else the way an insult (0 to 3) or a threat
+    (4 to 7) is meant. ``last[state]`` is the way plain marks turn out to be meant where
+    a clause ends.
     """
     states = list(product(range(NEGATION_SCOPE + 1), (0, 1), (0, 1)))
     index = {s: i for i, s in enumerate(states)}
     step = np.zeros((len(states), 6), np.int64)
-    meant = np.zeros((len(states), 6), np.int64)
+    meant = np.full((len(states), 6), -1)
+    last = np.array([AIMED if aimed else PLAIN for _, aimed, _ in states])
     for (scope, aimed, reported), kind in product(states, range(6)):
         now = (
             NEGATION_SCOPE if kind == NEGATES else max(scope - 1, 0),
             1 if kind == AIMS else aimed,
             1 if kind == REPORTS else reported,
         )
-        step[index[scope, aimed, reported], kind] = index[now]
-        meant[index[scope, aimed, reported], kind] = 3 if reported else 2 if scope else aimed
-    return step, meant
+        at = index[scope, aimed, reported]
+        step[at, kind] = index[now]
+        if kind in (INSULT, THREATENS):
+            way = REPORTED if reported else NEGATED if scope else AIMED if aimed else PLAIN
+            meant[at, kind] = way + 4 * (kind == THREATENS)
+    return step, meant, last
 
 
-STEP, MEANT = (t.tolist() for t in composed())
+STEP, MEANT, LAST = (t.tolist() for t in composed())
 
 
 class Grammar:
@@ -102,18 +112,29 @@ class Grammar:
         marks = list(map(seen.__getitem__, words))
         if not any(kind in (INSULT, THREATENS) for kind, _ in set(marks)):
             return [0.0] * FEATURES
-        sums, best, clauses, hits, top = [0.0] * 4, 0.0, 0, 0, 0.0
-        state, clause = 0, 0.0
+        sums, best, clauses, hits, top = [0.0] * 8, 0.0, 0, 0, 0.0
+        state, clause, waits = 0, 0.0, [0.0, 0.0]
         for kind, weight in marks + [(OTHER, -1.0)]:
             if weight < 0:
+                way = LAST[state]
+                sums[way] += waits[0]
+                sums[way + 4] += waits[1]
+                if way == AIMED:
+                    clause += waits[1]
                 clauses += clause > 0
-                best, state, clause = max(best, clause), 0, 0.0
+                best, state, clause, waits = max(best, clause), 0, 0.0, [0.0, 0.0]
                 continue
-            if kind == INSULT or kind == THREATENS:
-                sums[MEANT[state][kind]] += weight
-                clause += weight
-                hits += 1
-                top = max(top, weight)
+            way = MEANT[state][kind]
+            if way >= 0:
+                if way % 4 == PLAIN:
+                    waits[way // 4] += weight
+                else:
+                    sums[way] += weight
+                if kind == INSULT:
+                    top = max(top, weight)
+                if kind == INSULT or way % 4 != PLAIN:
+                    clause += weight
+                    hits += 1
             state = STEP[state][kind]
         return [math.log1p(s) for s in sums] + [best, top, math.log1p(clauses), math.log1p(hits), clauses / len(words)]
 

@@ -10,7 +10,7 @@ import pytest
 
 import corpus_pipeline
 from __spark_entry__ import queries
-from quietband.llm import url_rules
+from quietband.llm import toxicity, url_rules
 from quietband.llm.catalog import ORACLE_SQL, QUERIES, URL_RULES
 from quietband.llm.mixing import mix_sources, mixed_documents
 from quietband.llm.pii import SpanModel, dawid_skene, redact, report_pii
@@ -196,6 +196,44 @@ def test_grammar_tells_how_an_insult_is_meant():
     assert meant(NEGATES, OTHER, OTHER, OTHER, INSULT) == 0 and meant(AIMS, REPORTS, INSULT) == 3
 
 
+def _by_clauses(text, stems):
+    """Sums of the ways insults and threats are meant, clause by clause with plain loops."""
+    sums = [0.0] * 8
+    for clause in re.split(r"[.!?;\n]", text.lower()):
+        words = re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)*|[\"“”«»]", clause)
+        for i, word in enumerate(words):
+            weight = next((w for s, w in stems.items() if word.startswith(s)), None)
+            threat = word in toxicity.THREAT
+            if word in toxicity.NEGATION | toxicity.REPORT | toxicity.TARGET or (weight is None and not threat):
+                continue
+            said = any(w in toxicity.REPORT or w in "\"“”«»" for w in words[:i])
+            denied = any(w in toxicity.NEGATION for w in words[max(0, i - 3) : i])
+            aimed = any(w in toxicity.TARGET for w in words)
+            way = 3 if said else 2 if denied else 1 if aimed else 0
+            sums[way + 4 * threat] += 1.0 if threat else weight
+    return sums
+
+
+CLAUSES = [
+    "I will kill you.", "I will kill time.", "You I will hurt!", "He said you are a zgrub.", "not a zgrub, you; zgrubs",
+    "zgrub zgrub you", "you: kill. kill", "I never really said kill zgrub", "\"kill you\" zgrub", "you\nzgrub", "zgrub",
+    "don't kill you zgrub zgrub zgrub", "", "nothing here. at all", "töten dich? kill", "you you you they kill kill zgruber",
+]
+
+
+@pytest.mark.parametrize("text", CLAUSES + [" ".join(CLAUSES)])
+def test_grammar_equals_plain_loops_over_clauses(text):
+    stems = {"zgr": 2.5}
+    found = np.expm1(toxicity.Grammar(stems).features(text)[:8])
+    assert found == pytest.approx(_by_clauses(text, stems), abs=1e-9)
+
+
+def test_threats_need_somebody():
+    grammar = toxicity.Grammar({})
+    assert grammar.features("I will kill you.") != grammar.features("I will kill time.")
+    assert grammar.features("I will kill time.")[8:] == [0.0] * 5
+
+
 def test_measures_of_odd_texts():
     for text in ["", " ", "\n\n", "a", "\ud800", "é" * 10_000]:
         assert len(measures(text)) == 20 and np.isfinite(measures(text)).all()
