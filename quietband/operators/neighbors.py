@@ -28,9 +28,10 @@ PIVOTS_FROM_BLOCKS = 4
 QUERY_CHUNK = 512
 # Entries of one distance block inside a task.
 MAX_BLOCK_ENTRIES = 8_000_000
-# Up to here cells are trained by k-means, beyond it rows chosen by hash serve as centres.
-MAX_TRAINED_CELLS = 1024
+# Centres of cells are trained by k-means on so many rows each, so many centres to a task.
 TRAINING_ROWS_PER_CELL = 256
+CENTRES_PER_TASK = 64
+TRAINING_ROUNDS = 10
 # Largest right side of a distance matrix that is shipped whole to every task.
 SMALL_SIDE = 1000
 METRICS = ("euclidean", "sqeuclidean", "cityblock", "chebyshev", "cosine")
@@ -408,6 +409,84 @@ def _search_cells(unique, distinct, pivots, k, block, same: bool):
     return first.unionByName(_block_join(routes, placed, cells.size, k, block))
 
 
+def _lloyd(rows: np.ndarray, k: int) -> np.ndarray:
+    """k-means from seeds drawn by squared distance; clusters that empty keep their place."""
+    draw = np.random.default_rng(0)
+    centres = rows[:1].copy()
+    gap = distance_block(rows, centres, "sqeuclidean")[:, 0]
+    while len(centres) < k and gap.max() > 1e-12:
+        seed = rows[[np.searchsorted(np.cumsum(gap), draw.random() * gap.sum())]]
+        gap = np.minimum(gap, distance_block(rows, seed, "sqeuclidean")[:, 0])
+        centres = np.vstack([centres, seed])
+    for _ in range(TRAINING_ROUNDS):
+        near = np.concatenate(
+            [distance_block(part, centres, "sqeuclidean").argmin(axis=1) for part in _parts(rows, len(centres))]
+        )
+        size = np.bincount(near, minlength=len(centres))
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, rows)
+        moved = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], centres)
+        if np.allclose(moved, centres):
+            break
+        centres = moved
+    return centres
+
+
+def train_centres(training: DataFrame, count: int, per_task: int = CENTRES_PER_TASK) -> np.ndarray:
+    """About ``count`` k-means centres of ``(id, vec)``, trained in executors.
+
+    Rows are split by k-means level by level, each group getting centres by its share of
+    the rows, until a group needs no more than ``per_task``: a task never trains more, and
+    never on more than a fixed number of rows for each. Few distinct rows give fewer.
+    """
+    groups = training.withColumn("grp", F.lit(0))
+    quota, done = {0: count}, []
+    while quota:
+        wanted = {g: q if q <= per_task else min(per_task, math.ceil(math.sqrt(q))) for g, q in quota.items()}
+        sample = first_per_group(
+            groups.where(F.col("grp").isin(list(quota))).withColumn("_order", hash_order("id", 17)),
+            ["grp"], ["_order", "id"], TRAINING_ROWS_PER_CELL * max(wanted.values()),
+        )
+
+        def train(group: pa.Table) -> pa.Table:
+            group = group.sort_by([("_order", "ascending")])
+            grp = group["grp"][0].as_py()
+            found = _lloyd(to_matrix(group["vec"]), wanted[grp])
+            return pa.table([pa.array([grp] * len(found), pa.int32()), to_lists(found)], names=["grp", "centre"])
+
+        found = sample.groupBy("grp").applyInArrow(train, "grp int, centre array<double>").toPandas()
+        centres = {g: np.array(rows.tolist()) for g, rows in found.groupby("grp")["centre"]}
+        # Fewer centres than asked for are all the distinct rows there are.
+        last = {g for g, q in quota.items() if q <= per_task or len(centres[g]) < wanted[g]}
+        done += [centres[g] for g in quota if g in last]
+        coarse = {g: centres[g] for g in quota if g not in last}
+        if not coarse:
+            break
+        check_broadcast(sum(map(len, coarse.values())), 8 * next(iter(coarse.values())).shape[1], "the centres of a level")
+        first = dict(zip(coarse, np.cumsum([0, *[len(c) for c in coarse.values()]]).tolist()))
+
+        def place(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    rows, old = to_matrix(batch.column(1)), batch.column(2).to_numpy()
+                    new = np.zeros(len(rows), np.int32)
+                    for g in np.unique(old).tolist():
+                        mine = np.flatnonzero(old == g)
+                        for part in np.array_split(mine, 1 + len(mine) * len(coarse[g]) // MAX_BLOCK_ENTRIES):
+                            near = distance_block(rows[part], coarse[g], "sqeuclidean").argmin(axis=1)
+                            new[part] = first[g] + near
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(new)], names=["id", "vec", "grp"])
+
+        kind = training.schema["id"].dataType.simpleString()
+        moved = groups.where(F.col("grp").isin(list(coarse))).select("id", "vec", "grp")
+        groups = cut_lineage(moved.mapInArrow(place, f"id {kind}, vec array<double>, grp int"))
+        sizes = {r["grp"]: r["count"] for r in groups.groupBy("grp").count().collect()}
+        parent = {first[g] + i: g for g in coarse for i in range(len(coarse[g]))}
+        total = {g: sum(n for c, n in sizes.items() if parent[c] == g) for g in coarse}
+        quota = {c: max(1, round(quota[parent[c]] * n / total[parent[c]])) for c, n in sizes.items()}
+    return np.concatenate(done)
+
+
 def knn_approx(
     points: DataFrame,
     k: int,
@@ -419,26 +498,15 @@ def knn_approx(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Inverted-list search: only the ``n_probe`` nearest of ``n_cells`` cells are read."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
     base = _rows(points, id_col, vector)
     asked = base if queries is None else _rows(queries, id_col, vector)
     n = base.count()
     n_cells = n_cells or max(1, int(math.sqrt(n)))
     if n_cells < 2:
         return knn_exact(points, k, queries, id_col, vector, block_rows)
-    if n_cells <= MAX_TRAINED_CELLS:
-        share = min(1.0, TRAINING_ROWS_PER_CELL * n_cells / n)
-        chosen = F.pmod(hash_order("id", 13), F.lit(1 << 30)) < int(share * (1 << 30))
-        training = base.where(chosen).select(array_to_vector("vec").alias("v")).persist()
-        try:
-            model = KMeans(k=n_cells, seed=0, maxIter=10, featuresCol="v").fit(training)
-        finally:
-            training.unpersist()
-        centers = np.array(model.clusterCenters())
-    else:
-        centers = _pivots(base, n_cells)
+    share = min(1.0, TRAINING_ROWS_PER_CELL * n_cells / n)
+    chosen = F.pmod(hash_order("id", 13), F.lit(1 << 30)) < int(share * (1 << 30))
+    centers = train_centres(cut_lineage(base.where(chosen)), n_cells)
     check_broadcast(len(centers), 8 * centers.shape[1], "the cell centres")
     placed = cut_lineage(_assign(base, centers))
     cells = _Cells(placed, centers)
