@@ -14,8 +14,7 @@ A row is a document, also where ids repeat. Shares are integers, so all results
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
-from itertools import chain, repeat
+from collections.abc import Iterator
 from operator import itemgetter
 
 import numpy as np
@@ -27,7 +26,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quietband.llm.common import slices, store
-from quietband.session import partial_width
 
 # Bytes of a prefix in each pass before the one that counts whole terms.
 LEVELS = (5, 9)
@@ -35,7 +33,6 @@ MAP_BITS = 1 << 25  # 4 MB for each task, whatever the number of prefixes
 HASH_SEED = 42  # the seed of Spark's xxhash64
 # Counters a task holds before it passes them on, and known answers of the bit map.
 MAX_HELD = 600_000
-MAX_CELLS = 8_000_000  # counts of terms by source that a task holds, 64 MB
 # Kept terms of a language compared by one task, for all its sources.
 TERM_BLOCK = 4096
 SHARE_SCALE, SMOOTHING = 1_000_000_000, 5  # fixed values of a share
@@ -65,7 +62,6 @@ def source_divergence(
     clean = docs.select(
         *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")]
     )
-    clean = clean.coalesce(partial_width(clean))  # a task passes each count on once
     counts = store(kept_counts(clean, min_docs, levels), "counts")
     groups = store(clean.select("lang", "source").distinct(), "groups")
     return _report(counts, groups, top_terms)
@@ -144,9 +140,13 @@ def _prefix_documents(clean: DataFrame, width: int, alive: tuple | None) -> Data
         for batch in batches:
             for cut in slices(batch, 1):
                 for (lang,), texts in _by_key(cut).items():
+                    counter = held.setdefault(lang, Counter())
+                    if before is None:
+                        for terms in texts:
+                            counter.update(set(map(shorten, terms)))
+                        continue
                     sets = [set(terms) for terms in texts]
                     live = look.of(lang.encode(), set().union(*sets))
-                    counter = held.setdefault(lang, Counter())
                     for terms in sets:
                         counter.update(set(map(shorten, terms & live)))
                 if sum(map(len, held.values())) > MAX_HELD:
@@ -167,44 +167,6 @@ def _prefix_documents(clean: DataFrame, width: int, alive: tuple | None) -> Data
     return parts.groupBy("lang", "prefix").agg(F.sum("count").alias("count"))
 
 
-class _Held:
-    """Counts of numbered terms by language and source, before a task passes them on."""
-
-    def __init__(self):
-        self.numbers: dict[str, dict[bytes, int]] = {}
-        self.counts: dict[tuple[str, str | None], np.ndarray] = {}
-
-    def learn(self, lang: str, terms: set[bytes]) -> None:
-        numbers = self.numbers.setdefault(lang, {})
-        new = terms - numbers.keys()
-        numbers.update(zip(new, range(len(numbers), len(numbers) + len(new))))
-
-    def add(self, key: tuple[str, str | None], terms: Iterable[bytes]) -> None:
-        """Count the terms that have a number."""
-        numbers = self.numbers[key[0]]
-        found = np.fromiter(map(numbers.get, terms, repeat(-1)), np.int64)
-        counted = np.bincount(found + 1, minlength=len(numbers) + 1)[1:]
-        before = self.counts.get(key, counted[:0])
-        counted[: len(before)] += before
-        self.counts[key] = counted
-
-    def full(self) -> bool:
-        return sum(map(len, self.counts.values())) > MAX_CELLS or sum(map(len, self.numbers.values())) > MAX_HELD
-
-    def batches(self) -> Iterator[pa.RecordBatch]:
-        names = {lang: pa.array(list(n), pa.binary()).cast(pa.string()) for lang, n in self.numbers.items()}
-        for (lang, source), counted in self.counts.items():
-            at = np.flatnonzero(counted)
-            first = pa.array(np.zeros(len(at), np.int32))
-            columns = [
-                pa.array([lang]).take(first),
-                pa.array([source], pa.string()).take(first),
-                names[lang].take(pa.array(at)),
-                pa.array(counted[at]),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "count"])
-
-
 def _term_counts(clean: DataFrame, alive: tuple | None) -> DataFrame:
     """``(lang, source, term, count)`` of the terms that may be kept.
 
@@ -214,7 +176,7 @@ def _term_counts(clean: DataFrame, alive: tuple | None) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = _Alive(*(before.value if before else (None, 0)))
-        held = _Held()
+        held: dict[tuple[str, str | None], Counter] = {}
         for batch in batches:
             for cut in slices(batch, 2):
                 by_key = _by_key(cut)
@@ -222,14 +184,28 @@ def _term_counts(clean: DataFrame, alive: tuple | None) -> DataFrame:
                     mine = {key: texts for key, texts in by_key.items() if key[0] == lang}
                     sets = [set(terms) for texts in mine.values() for terms in texts]
                     live = look.of(lang.encode(), set().union(*sets))
-                    held.learn(lang, live)
-                    held.add((lang, None), chain.from_iterable(terms & live for terms in sets))
+                    documents = held.setdefault((lang, None), Counter())
+                    for terms in sets:
+                        documents.update(terms & live)
                     for key, texts in mine.items():
-                        held.add(key, chain.from_iterable(texts))
-                if held.full():
-                    yield from held.batches()
-                    held = _Held()
-        yield from held.batches()
+                        occurrences = held.setdefault(key, Counter())
+                        for terms in texts:
+                            occurrences.update(filter(live.__contains__, terms))
+                if sum(map(len, held.values())) > MAX_HELD:
+                    yield from emit(held)
+                    held = {}
+        yield from emit(held)
+
+    def emit(held: dict) -> Iterator[pa.RecordBatch]:
+        for (lang, source), counter in held.items():
+            first = pa.array(np.zeros(len(counter), np.int32))
+            columns = [
+                pa.array([lang]).take(first),
+                pa.array([source], pa.string()).take(first),
+                pa.array(list(counter), pa.binary()).cast(pa.string()),
+                pa.array(list(counter.values()), pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "count"])
 
     schema = "lang string, source string, term string, count long"
     parts = clean.select("lang", "source", "text").mapInArrow(count, schema)
